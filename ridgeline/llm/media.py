@@ -35,10 +35,11 @@ SPAN = 9
 
 def _zigzag() -> np.ndarray:
     """Places of the coefficients in scan order: along anti-diagonals, in turn down and up."""
-    cells = sorted(((x + y, x if (x + y) % 2 else y, y, x) for y in range(8) for x in range(8)), key=lambda c: (c[0], -c[1] if c[0] % 2 else -c[1]))
-    out, by = [], {}
-    for s, _, y, x in cells:
-        by.setdefault(s, []).append((y, x))
+    by: dict = {}
+    for y in range(8):
+        for x in range(8):
+            by.setdefault(x + y, []).append((y, x))
+    out: list = []
     for s in range(15):
         out += sorted(by[s], key=lambda c: c[0] if s % 2 else c[1])
     return np.array([y * 8 + x for y, x in out])
