@@ -11,12 +11,12 @@
    smallest member, not with all others: pairs are linear in the input however large a bucket is.
 4. Estimate. Both sketches and the set sizes give the maximum-likelihood similarity; pairs far below the threshold go.
 5. Verify. The full sets decide. Links give components.
-6. The rest. Members of one bucket that ended in different components are compared with each other in blocks of
-   `block` members: each pair of blocks is a task of its own, and only pairs of different components that pass sizes
-   and estimate come out, to be verified. So no link between texts that share a bucket is lost, and there is no cap.
-   This is square only in what a bucket holds of texts that are no near copies of its smallest member's component.
+6. The rest. Members of one bucket that ended in different components are compared with each other in blocks: each
+   pair of blocks is a group of its own, where pairs of different components pass sizes, estimate and full sets, and
+   only links come out. So no link between texts that share a bucket is lost, and there is no cap. This is square only
+   in what a bucket holds of texts that are no near copies of its smallest member's component.
 
-At similarity 0.8 two sets share none of 32 bands of 4 registers with probability 5e-8.
+Two sets share none of 25 bands of 5 registers with probability 4e-7 at similarity 0.85 and 5e-5 at 0.8.
 
 Cases: null, empty and wordless texts have an empty set and are linked with nothing. Rows that share a doc_id each get
 the component of their own text. A null doc_id counts as the largest and gives a null component where it is alone. Ties
@@ -100,16 +100,28 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def _log_likelihood(j, u, v, up, down, same) -> np.ndarray:
+    """Of similarity j, given how many registers are larger, smaller and the same; u, v: shares of the sizes."""
+    p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
+    x, y = p(u - v * j), p(v - u * j)
+    return sum(np.where(c > 0, c * np.log(np.maximum(q, 1e-300)), 0) for c, q in ((up, x), (down, y), (same, 1 - x - y)))
+
+
+def likely_at_least(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, cut: float) -> np.ndarray:
+    """Whether likely_similarity() is cut or more: the likelihood is concave, so it must still rise at cut."""
+    up, down = (a > b).sum(-1), (a < b).sum(-1)
+    u, v = na / (na + nb), nb / (na + nb)
+    sizes = (u, v, up, down, M - up - down)
+    return (_log_likelihood(cut + 1e-4, *sizes) >= _log_likelihood(cut, *sizes)) & (np.minimum(u / v, v / u) >= cut)
+
+
 def likely_similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """The maximum-likelihood similarity of sketches a, b (rows x M) of sets with na and nb elements."""
     up, down = (a > b).sum(-1), (a < b).sum(-1)
     same = M - up - down
     u, v = na / (na + nb), nb / (na + nb)
-    p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
-
     def value(j):
-        x, y = p(u - v * j), p(v - u * j)
-        return sum(np.where(c > 0, c * np.log(np.maximum(q, 1e-300)), 0) for c, q in ((up, x), (down, y), (same, 1 - x - y)))
+        return _log_likelihood(j, u, v, up, down, same)
 
     low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
     for _ in range(30):  # the likelihood is concave
@@ -119,7 +131,7 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarr
     return (low + high) / 2
 
 
-def sketches(docs: DataFrame, bands: int = 32, rows: int = 4) -> DataFrame:
+def sketches(docs: DataFrame, bands: int = 25, rows: int = 5) -> DataFrame:
     """docs(doc_id long, text) as doc_id, n, set hash (ha, hb), keys of the bands, registers."""
 
     def run(batches):
@@ -153,14 +165,14 @@ def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return map_batches(at, run, "id long, elements binary").dropDuplicates(["id"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, percent: int, cut: float | None) -> DataFrame:
-    """The links among pairs(a, b): by estimate first (unless cut is None), then on full sets."""
+def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, percent: int, cut: float) -> DataFrame:
+    """The links among pairs(a, b): by estimate first, then on full sets."""
 
     def estimate(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b[c]), "<u2").reshape(-1, M) for c in ("ra", "rb"))
             na, nb = np.array(b["na"], float), np.array(b["nb"], float)
-            ok = likely_similarity(x, y, na, nb) >= cut if len(x) else []
+            ok = likely_at_least(x, y, na, nb, cut) if len(x) else []
             yield {c: [v for v, o in zip(b[c], ok) if o] for c in ("a", "b")}
 
     def verify(batches):
@@ -175,44 +187,64 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, percent: int,
                     out.append((i, k))
             yield {"a": [p[0] for p in out], "b": [p[1] for p in out]}
 
-    if cut is not None:
-        side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        pairs = written(map_batches(sized.select("a", "b", "na", "nb", "ra", "rb"), estimate, "a long, b long"), "near-pairs")
+    side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    pairs = written(map_batches(sized.select("a", "b", "na", "nb", "ra", "rb"), estimate, "a long, b long"), "near-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", "ha"), "id")
     sets = written(_full_sets(docs, ids), "near-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
     return written(map_batches(both.select("a", "b", "ea", "eb"), verify, "a long, b long"), "near-links")
 
 
-def _rest(entries: DataFrame, reps: DataFrame, found: DataFrame, percent: int, cut: float, block: int) -> DataFrame:
-    """Pairs of different components that share a bucket of entries(key, id), found in pairs of blocks."""
+def _rest(docs: DataFrame, entries: DataFrame, reps: DataFrame, found: DataFrame, percent: int, cut: float, block: int, bands: int, rows: int) -> DataFrame:
+    """Links between different components that share a bucket of entries(band, key, id), found in pairs of blocks.
+
+    A block has at most about `block` members and 32 MB of elements. Counts of common elements are taken there, so only
+    links come out, not pairs.
+    """
     import pandas as pd
 
-    placed = entries.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_ = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "size")
-    rows = written(placed.join(open_, "key"), "near-open").join(reps.select("id", "n", "registers"), "id")
-    blocks = rows.withColumn("k", F.ceil(F.col("size") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    dealt = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i"), "id", "component", "n", "registers")
+    placed = entries.join(found.withColumnRenamed("node", "id"), "id", "left").join(reps.select("id", "n"), "id").select("band", "key", "id", "n", F.coalesce("component", "id").alias("component"))
+    sums = placed.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum("n").alias("elements"), F.min("component").alias("x"), F.max("component").alias("y"))
+    k = F.ceil(F.greatest(F.col("size") / block, F.col("elements") / (4 << 20))).cast("int").alias("k")
+    members = written(placed.join(sums.where("x <> y").select("band", "key", k), ["band", "key"]), "near-open")
+    sets = _full_sets(docs, members.select("id").distinct().join(reps.select("id", "ha"), "id")).join(reps.select("id", "registers"), "id")
+    own = members.withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = own.join(written(sets, "near-sets"), "id").select("band", "key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "id", "component", "n", "registers", "elements")
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
         r = np.frombuffer(b"".join(pdf.registers), "<u2").reshape(-1, M)
         ids, comp, n, i = (pdf[c].to_numpy() for c in ("id", "component", "n", "i"))
-        left, right = np.flatnonzero(i == pdf.lo.iloc[0]), np.flatnonzero(i == pdf.hi.iloc[0])
+        band, lo, hi = (int(pdf[c].iloc[0]) for c in ("band", "lo", "hi"))
+        left, right = np.flatnonzero(i == lo), np.flatnonzero(i == hi)
+        known, flat = np.unique(np.frombuffer(b"".join(pdf.elements), np.uint64), return_inverse=True)
+        ends = np.cumsum(n)
+        mark = np.zeros(len(known), bool)
         out = []
         for x in left:
-            y = right[(ids[right] != ids[x]) & (comp[right] != comp[x])]
+            y = right[(comp[right] != comp[x]) & ((lo != hi) | (ids[right] > ids[x]))]
             y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+            # registers agree about as often as the sets; of the buckets that two share, the first takes the pair
+            same = r[y] == r[x]
+            ok = same.sum(1) >= (cut - 0.05) * M
+            y, same = y[ok], same[ok]
+            if len(y):
+                y = y[same[:, : bands * rows].reshape(-1, bands, rows).all(2).argmax(1) == band]
+                y = y[likely_at_least(r[x], r[y], np.full(len(y), float(n[x])), n[y].astype(float), cut)]
             if len(y):
-                y = y[likely_similarity(np.broadcast_to(r[x], (len(y), M)), r[y], np.full(len(y), float(n[x])), n[y].astype(float)) >= cut]
-                out.append(np.stack([np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])], 1))
-        got = np.unique(np.concatenate([*out, np.zeros((0, 2), np.int64)]), axis=0)
+                own = flat[ends[x] - n[x] : ends[x]]
+                mark[own] = True
+                common = np.array([int(mark[flat[ends[t] - n[t] : ends[t]]].sum()) for t in y])
+                mark[own] = False
+                y = y[100 * common >= percent * (n[x] + n[y] - common)]
+                out += [(min(ids[x], ids[t]), max(ids[x], ids[t])) for t in y]
+        got = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
 
-    return dealt.groupBy("key", "lo", "hi").applyInPandas(pair, "a long, b long").distinct()
+    return written(dealt.groupBy("band", "key", "lo", "hi").applyInPandas(link, "a long, b long"), "near-more")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 32, rows: int = 4, margin: float = 0.15, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: int = 5, margin: float = 0.15, block: int = 2048) -> DataFrame:
     """docs(doc_id, text) as doc_id, n_shingles, component_id, kept; links need 100 * common >= percent * all.
 
     margin: how far the estimate may lie below the threshold, about 5 deviations of 128 registers.
@@ -227,13 +259,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 32, rows: i
     placed = table.select("doc_id", "n", "ha", "hb").join(classes, ["ha", "hb"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc_id")).alias("id"))
     # one row a class: a doc_id that stands on several rows may stand for several classes, of which one is taken
     reps = written(some.join(classes.withColumnRenamed("id", "doc_id"), ["ha", "hb", "doc_id"]).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id"), "near-reps")
-    keyed = reps.select("id", F.explode("keys").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("key", "pivot")
-    entries = written(keyed.join(pivots, "key"), "near-entries")
+    keyed = reps.select("id", F.posexplode("keys").alias("band", "key"))
+    pivots = keyed.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("band", "key", "pivot")
+    entries = written(keyed.join(pivots, ["band", "key"]), "near-entries")
     star = entries.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = _verified(docs, star, reps, percent, cut)
     found = components(links, "near-components")
-    more = _verified(docs, _rest(entries.select("key", "id"), reps, found, percent, cut, block), reps, percent, None)
+    more = _rest(docs, entries.select("band", "key", "id"), reps, found, percent, cut, block, bands, rows)
     if more.limit(1).count():
         found = components(links.union(more), "near-components")
     label = placed.join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
