@@ -266,10 +266,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model:
 
     by_unit = map_batches(texts, frequencies, "unit string, k int, n long").groupBy("unit").agg(*[F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)])
     sizes = {(r["half"], r["y"]): r["n"] for r in texts.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
-    # of the bounded sample, and only units that mark toxic texts
-    got = by_unit.where("n1 + n3 >= 2 AND n1 + n3 > n0 + n2").collect()
+    positive = sum(sizes.get((h, 1), 0) for h in (0, 1))
+    # of the bounded sample, and only units that mark enough toxic texts
+    got = by_unit.where(f"n1 + n3 >= {max(2, 0.001 * positive)} AND n1 + n3 > n0 + n2").collect()
     half = lambda h: learned_lexicon({r["unit"]: (r[f"n{2 * h + 1}"], r[f"n{2 * h}"]) for r in got}, sizes.get((h, 1), 0), sizes.get((h, 0), 0))
-    both = learned_lexicon({r["unit"]: (r["n1"] + r["n3"], r["n0"] + r["n2"]) for r in got}, sum(sizes.get((h, 1), 0) for h in (0, 1)), sum(sizes.get((h, 0), 0) for h in (0, 1)))
+    both = learned_lexicon({r["unit"]: (r["n1"] + r["n3"], r["n0"] + r["n2"]) for r in got}, positive, sum(sizes.get((h, 0), 0) for h in (0, 1)))
     sent = Shared(spark, [half(1), half(0)])  # by half: the lexicon of the other
 
     def dense(batches):
