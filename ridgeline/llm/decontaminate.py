@@ -47,12 +47,19 @@ def windows_of(tokens: list[bytes], window: int) -> list[list[bytes]]:
     return [tokens[i : i + window] for i in range(max(1, len(tokens) - window + 1))]
 
 
-def pack(places: np.ndarray) -> bytes:
-    """Ascending places as their first and differences, in the smallest unsigned type that holds them all."""
+def pack(places: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """The posting lists places[cuts[k]:cuts[k + 1]], each as its first place and differences, in the smallest unsigned
+    type that holds them all, after the type's number of bytes as a digit."""
+    if len(cuts) < 2:
+        return []
     steps = np.diff(places, prepend=0)
-    most = int(steps.max()) if len(steps) else 0
-    kind = next(k for k in ("u1", "u2", "u4", "u8") if most < 1 << 8 * np.dtype(k).itemsize)
-    return kind[1].encode() + steps.astype("<" + kind).tobytes()
+    steps[cuts[:-1]] = places[cuts[:-1]]
+    most = np.maximum.reduceat(steps, cuts[:-1])
+    width = np.select([most < 1 << 8, most < 1 << 16, most < 1 << 32], [1, 2, 4], 8).tolist()
+    whole = {n: steps.astype(f"<u{n}").tobytes() for n in set(width)}
+    head = {n: str(n).encode() for n in whole}
+    ends = cuts.tolist()
+    return [head[n] + whole[n][n * i : n * k] for n, i, k in zip(width, ends, ends[1:])]
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -74,7 +81,7 @@ def segment_of(docs: list[tuple[int, list[bytes]]]) -> tuple[list[bytes], list[b
     new = np.ones(len(flat), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (flat[order][1:] != flat[order][:-1])
     df = np.add.reduceat(new, cuts[:-1]).tolist() if len(flat) else []
-    return list(ids), [pack(at[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], df, starts
+    return list(ids), pack(at, cuts), df, starts
 
 
 def build_index(docs: DataFrame, segment_tokens: int = 1_000_000) -> DataFrame:

@@ -111,7 +111,8 @@ def test_proximity():
     assert [list(map(int, x)) for x in decontaminate.near(places, [b"a", b"c"], 1)] == [[4], [7]]
     assert [list(map(int, x)) for x in decontaminate.near(places, [b"a", b"c"], 2)] == [[0, 4], [4, 7]]
     assert decontaminate.phrase(places, [b"b", b"x", b"c"], {}).tolist() == [1]
-    assert decontaminate.unpack(decontaminate.pack(np.array([3, 500, 70_000]))).tolist() == [3, 500, 70_000]
+    packed = decontaminate.pack(np.array([3, 500, 70_000, 1, 2]), np.array([0, 3, 5]))
+    assert [decontaminate.unpack(x).tolist() for x in packed] == [[3, 500, 70_000], [1, 2]]
 
 
 def test_bpe(spark, docs, none):
