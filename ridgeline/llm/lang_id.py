@@ -145,7 +145,7 @@ def learn(docs: DataFrame, pieces: Pieces, per_language: int = 2000, longest: in
     if not counts:
         return [], np.zeros((len(pieces.pieces), 0))
     some = some.where((F.col("_h").cast("double") / 2.0**64 + 0.5) <= F.coalesce(*wide))
-    some = some.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_k") <= per_language).select("lang", "text").repartition(F.xxhash64("text"))
+    some = some.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_k") <= per_language).repartition("_h").select("lang", "text")
     sent = Shared(docs.sparkSession, pieces)
 
     def run(batches):
