@@ -267,7 +267,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
     found = components(links, "near-components")
     more = _rest(docs, entries.select("band", "key", "id"), reps, found, percent, cut, block, bands, rows)
     if more.limit(1).count():
-        found = components(links.union(more), "near-components")
+        # the components found are stars already, so few rounds are left
+        found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more), "near-components")
     label = placed.join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     shown = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return label.select(shown("doc_id").alias("doc_id"), "n_shingles", shown("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
