@@ -20,7 +20,7 @@ Two sets share none of 25 bands of 5 registers with probability 4e-7 at similari
 
 Cases: null, empty and wordless texts have an empty set and are linked with nothing. Rows that share a doc_id each get
 the component of their own text. A null doc_id counts as the largest and gives a null component where it is alone. Ties
-go to the smaller doc_id. An empty table gives an empty result. Extra columns are carried along by near_duplicates().
+go to the smaller doc_id. An empty table gives an empty result. Extra columns are left behind.
 """
 
 from __future__ import annotations
@@ -244,7 +244,22 @@ def _rest(docs: DataFrame, entries: DataFrame, reps: DataFrame, found: DataFrame
     return written(dealt.groupBy("band", "key", "lo", "hi").applyInPandas(link, "a long, b long"), "near-more")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: int = 5, margin: float = 0.15, block: int = 2048) -> DataFrame:
+def _labelled(table: DataFrame, classes: DataFrame, found: DataFrame, hot_share: float) -> DataFrame:
+    """(doc_id, n, component_id) of all rows of table. Components are joined to classes, one row each, before rows meet
+    classes. Classes of more than hot_share of the rows (100 at least) are at most 1 / hot_share, so they are broadcast."""
+    on = ["ha", "hb"]
+    named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*on, "size", F.coalesce("component", "id").alias("component_id"))
+    named = written(named, "near-named")
+    most = max(100, (classes.agg(F.sum("size")).first()[0] or 0) * hot_share)
+    hot, cold = named.where(F.col("size") > most), named.where(F.col("size") <= most)
+    rows, columns = table.select("doc_id", "n", *on), ["doc_id", "n", "component_id"]
+    some = rows.where("n > 0")
+    met = some.join(F.broadcast(hot), on).select(columns)
+    met = met.union(some.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on).select(columns))
+    return met.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: int = 5, margin: float = 0.15, block: int = 2048, hot_share: float = 1e-4) -> DataFrame:
     """docs(doc_id, text) as doc_id, n_shingles, component_id, kept; links need 100 * common >= percent * all.
 
     margin: how far the estimate may lie below the threshold, about 5 deviations of 128 registers.
@@ -255,10 +270,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
     table = written(sketches(docs, bands, rows), "near-sketch")
     some = table.where("n > 0")
-    classes = some.groupBy("ha", "hb").agg(F.min("doc_id").alias("id"))
-    placed = table.select("doc_id", "n", "ha", "hb").join(classes, ["ha", "hb"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc_id")).alias("id"))
+    classes = written(some.groupBy("ha", "hb").agg(F.min("doc_id").alias("id"), F.count("*").alias("size")), "near-classes")
     # one row a class: a doc_id that stands on several rows may stand for several classes, of which one is taken
-    reps = written(some.join(classes.withColumnRenamed("id", "doc_id"), ["ha", "hb", "doc_id"]).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id"), "near-reps")
+    firsts = classes.select("ha", "hb", F.col("id").alias("doc_id"))
+    reps = written(some.join(firsts, ["ha", "hb", "doc_id"]).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id"), "near-reps")
     keyed = reps.select("id", F.posexplode("keys").alias("band", "key"))
     pivots = keyed.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("band", "key", "pivot")
     entries = written(keyed.join(pivots, ["band", "key"]), "near-entries")
@@ -269,7 +284,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
     if more.limit(1).count():
         # the components found are stars already, so few rounds are left
         found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more), "near-components")
-    label = placed.join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    label = _labelled(table, classes, found, hot_share).withColumnRenamed("n", "n_shingles")
     shown = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return label.select(shown("doc_id").alias("doc_id"), "n_shingles", shown("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
