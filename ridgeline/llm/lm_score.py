@@ -4,7 +4,7 @@ product of class transitions and word emissions, both smoothed.
 Tokens: words of the text with A-Z lower-cased, then one end. Learning takes these passes over the training texts:
 
 1. Word counts: each task counts its words, then counts are added by word. They stay a table; they grow with the corpus.
-2. The `head` most frequent words are sent to all tasks (a bounded dictionary), the others never are.
+2. The most frequent words, at most `head`, are sent to all tasks (a bounded dictionary), the others never are.
 3. Bigram counts among the `clustered` most frequent words, at most clustered^2 of them.
 4. Exchange clustering on the driver over that bounded matrix: each word in turn moves to the class in which the
    training bigrams are likeliest, until no word moves or `sweeps` are over. Words beyond have a class by their ending.
@@ -18,7 +18,8 @@ P(word | class) = (c + 1) / (N_class + V_class + 1): the last 1 is the class's s
 P(class | before) = (n + strength * P(class)) / (N_before + strength).
 
 Cases: a null or empty text is one end. Repeated rows count and are scored each. An empty training set gives N = 0, and
-all words are unknown. Ties among words in the head go to the smaller word. Extra columns are left behind.
+all words are unknown. Words of one count are all in the head or all out of it; the smaller word comes first. Extra
+columns are left behind.
 """
 
 from __future__ import annotations
@@ -65,6 +66,25 @@ def word_counts(texts: DataFrame, most: int = 500_000) -> DataFrame:
     return written(parts.groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The words of the highest counts, at most `most`, by count and word; words of one count are all in or all out.
+
+    A histogram of at most some 10,000 rows gives the least count, so the driver gets `most` words, not those of each task.
+    """
+    level = F.when(F.col("c") < 4096, F.col("c")).otherwise(4096 + F.floor(F.log2(F.col("c") / 4096) * 100)).cast("long")
+    bins = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()
+    least, room = None, most
+    for b in sorted(bins, key=lambda b: -b["level"]):
+        room -= b["n"]
+        if room < 0:
+            break
+        least = b["least"]
+    if least is None:
+        return []
+    got = [(bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") >= least).collect()]
+    return sorted(got, key=lambda x: (-x[1], x[0]))
+
+
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     """The class of each word by exchange clustering: maximises the sum of n log n over class pairs less twice that over
     classes. bigrams: a square matrix; words in order of frequency, dealt to classes in turn at first."""
@@ -168,7 +188,7 @@ def train(texts: DataFrame, head: int = 100_000, clustered: int = 1_000, classes
     spark = texts.sparkSession
     counts = word_counts(texts)
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    top = [(bytes(r["word"]), r["c"]) for r in counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(head).collect()]
+    top = most_frequent(counts.where(F.col("word") != F.lit(END)), head)
     words, c = [w for w, _ in top], np.array([x for _, x in top], np.int64)
     few = min(clustered, len(words))
     n_classes = ENDINGS + classes + 1

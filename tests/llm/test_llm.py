@@ -331,3 +331,14 @@ def test_pipeline(spark):
             sizes = {len(x) for x in windows}
             clean = lambda w: not any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
             assert {i for i in before if clean(decontaminate.words(before[i]))} == set(after)
+
+def test_most_frequent_keeps_counts_whole(spark):
+    rows = [(bytearray(w.encode()), c) for w, c in [("a", 9), ("b", 5), ("d", 5), ("c", 2), ("big", 100_000), ("bigger", 200_000)]]
+    counts = spark.createDataFrame(rows, "word binary, c long")
+    took = lambda n: [w.decode() for w, _ in lm_score.most_frequent(counts, n)]
+    assert took(0) == []
+    assert took(2) == ["bigger", "big"]
+    assert took(4) == ["bigger", "big", "a"]
+    assert took(5) == ["bigger", "big", "a", "b", "d"]
+    assert took(100) == ["bigger", "big", "a", "b", "d", "c"]
+    assert lm_score.most_frequent(counts.where("c < 0"), 5) == []
