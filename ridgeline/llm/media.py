@@ -336,13 +336,25 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b" " * (-len(raw) % FRAME if raw else FRAME)
 
 
-def store_media(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) as doc_id and the AVI file in the binary column media, with n_bytes before padding."""
+def store_media(docs: DataFrame, most_bytes: int = 4 << 20) -> DataFrame:
+    """docs(doc_id, text) as doc_id and the AVI file in the binary column media, with n_bytes before padding. Files leave
+    the worker in parts of about most_bytes (more only where one file is larger), and go on in batches of that size."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
 
     def run(batches):
         for b in batches:
-            got = [payload_of(t) for t in b["text"]]
-            yield {"doc_id": b["doc_id"], "n_bytes": [n for n, _ in got], "media": [write_avi(frames_of(p)) for _, p in got]}
+            out: dict[str, list] = {"doc_id": [], "n_bytes": [], "media": []}
+            size = 0
+            for i, text in zip(b["doc_id"], b["text"]):
+                n, payload = payload_of(text)
+                data = write_avi(frames_of(payload))
+                for c, x in zip(out, (i, n, data)):
+                    out[c].append(x)
+                size += len(data)
+                if size >= most_bytes:
+                    yield out
+                    out, size = {c: [] for c in out}, 0
+            yield out
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, media binary")
 
