@@ -11,7 +11,8 @@ run of the next. Hot keys meet only in minima and counts, which combine before t
 
 Cases: a null or empty text is one empty line and stays. Rows with one doc_id are one holder: none takes lines from
 the other, and each row is returned. A null doc_id counts as larger than any other. Keys too short stay always.
-An empty table gives an empty result. Extra columns are carried along.
+An empty table gives an empty result. Extra columns are carried along, whatever their names; columns that have the
+names of the results (kept_text, n_lines, n_dropped) are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .common import documents, lower_ascii, new_path, remove
 
 SPACE = " \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1
+RESULTS = ("kept_text", "n_lines", "n_dropped")
 
 
 def line_key(line: Column) -> Column:
@@ -111,6 +113,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     A key of more than `hot_share` of a batch's lines (100 at least) is hot: there are at most 1/hot_share of these, so they are broadcast; all other keys meet their documents in a shuffled join.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*RESULTS)
     pairs = docs.select(_row_id().alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     runs, drops = Runs(spark, fanout), []
     bounds = [None, *_bounds(pairs, batches), None]
@@ -136,16 +139,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     for d in drops[1:]:
         gone = gone.union(d)
     # one sorted list a document, bounded by its lines
-    gone = gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("_gone")).select(F.col("id").alias("_i"), F.col("th").alias("_t"), "_gone")
+    gone = gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     at = new_path(spark, "line-drops")
     gone.write.parquet(at)
     gone = spark.read.schema(gone.schema).parquet(at)
     runs.drop()
-    on = (_row_id() == F.col("_i")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_t"))
-    full = docs.join(gone, on, "left")
-    lines, n_gone = lines_of(F.col("text")), F.coalesce(F.size("_gone"), F.lit(0))
-    kept = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(_without(lines, F.col("_gone")), "\n"))
-    return full.select(*[docs[c] for c in docs.columns], kept.alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), n_gone.cast("long").alias("n_dropped"))
+    # columns are named through their tables, as docs may have columns of the same names
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    text, places = F.coalesce(docs["text"], F.lit("")), gone["gone"]
+    on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == gone["id"]) & (F.xxhash64(text) == gone["th"])
+    lines = lines_of(text)
+    kept = F.when(places.isNull(), text).otherwise(F.array_join(_without(lines, places), "\n"))
+    dropped = F.coalesce(F.size(places), F.lit(0))
+    return docs.join(gone, on, "left").select(*own, kept.alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
 
 
 def _row_id() -> Column:

@@ -10,6 +10,7 @@
 Permutations are ranks of seeded hashes over the whole row, not of rand(), so a task that runs again deals as before.
 Blocks are hash blocks, not physical partitions, for the same reason. Rows that are equal in all columns are
 interchangeable. Law `rows`: shard sizes are at most one apart. Nulls are hashed as nulls; an empty table gives none.
+Extra columns are carried along, whatever their names; columns named shard or slot are replaced.
 Groups (equal texts) are dealt row by row, as a uniform shuffle must.
 """
 
@@ -72,13 +73,17 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> list[list
 def shuffle_shards(df: DataFrame, shards: int = 8, seed: int = 17, blocks: int = 512, cells: int = 512, key: list[str] | None = None) -> DataFrame:
     """df with the columns shard int and slot long. key: columns that tell rows apart (all by default)."""
     spark = df.sparkSession
-    row = [df[c] for c in key or df.columns]
+    names = [c for c in df.columns if c not in ("shard", "slot")]
+    # plain names inside, so that no column of df clashes with a working one
+    plain = {c: f"c{i}" for i, c in enumerate(names)}
+    df = df.select(*[F.col(f"`{c}`").alias(p) for c, p in plain.items()])
+    row = [F.col(plain[c]) for c in key or names]
     mixed = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *row)
     dealt = df.withColumns({"_b": F.pmod(mixed(1), F.lit(blocks)).cast("int"), "_r": mixed(2), "_q": mixed(3)})
     sizes = {r["_b"]: r["n"] for r in dealt.groupBy("_b").agg(F.count("*").alias("n")).collect()}  # at most `blocks` rows
-    names = sorted(sizes)
-    matrix = communication_matrix([sizes[b] for b in names], shards, seed)
-    ends = [(b, [sum(r[: k + 1]) for k in range(shards)]) for b, r in zip(names, matrix)]
+    order = sorted(sizes)
+    matrix = communication_matrix([sizes[b] for b in order], shards, seed)
+    ends = [(b, [sum(r[: k + 1]) for k in range(shards)]) for b, r in zip(order, matrix)]
     ends = spark.createDataFrame(ends, T.StructType([T.StructField("_b", T.IntegerType()), T.StructField("_ends", T.ArrayType(T.LongType()))]))
     ranked = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy("_r", "_q", *row)))
     sent = ranked.join(F.broadcast(ends), "_b").withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_k"))).cast("int"))
@@ -90,9 +95,9 @@ def shuffle_shards(df: DataFrame, shards: int = 8, seed: int = 17, blocks: int =
         base.append((s, c, before.get(s, 0)))
         before[s] = before.get(s, 0) + k
     base = spark.createDataFrame(base, "shard int, _c int, _base long")
-    at = F.row_number().over(Window.partitionBy("shard", "_c").orderBy("_q", *[sent[c] for c in key or df.columns]))
+    at = F.row_number().over(Window.partitionBy("shard", "_c").orderBy("_q", *row))
     slot = sent.withColumn("_at", at).join(F.broadcast(base), ["shard", "_c"])
-    return slot.select(*df.columns, "shard", (F.col("_base") + F.col("_at") - 1).cast("long").alias("slot"))
+    return slot.select(*[F.col(p).alias(c) for c, p in plain.items()], "shard", (F.col("_base") + F.col("_at") - 1).cast("long").alias("slot"))
 
 
 def _cell(q: Column, cells: int) -> Column:

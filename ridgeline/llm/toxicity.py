@@ -253,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model:
         return Model({}, None, (np.zeros(1), np.zeros(1)), rate)
     chosen = written(sample_of(labels, per_class), "toxic-sample")
     # at most 2 * per_class ids, so they can be broadcast
-    texts = written(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "half", "text").repartition("doc_id"), "toxic-texts")
+    texts = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "half", "text").repartition("doc_id"), "toxic-texts")
 
     def frequencies(batches):
         held: list[Counter] = [Counter() for _ in range(4)]

@@ -64,6 +64,27 @@ def test_line_dedup_sql(spark):
     assert sorted(map(tuple, line_dedup.op3_line_dedup(spark, SF).collect())) == sorted(want)
 
 
+def test_clashing_names(spark, docs):
+    """Extra columns with the names of working or result columns change no result and stay as they are."""
+    names = ["id", "th", "pos", "h", "h1", "h2", "first", "last", "n", "old", "gone", "c0", "_b", "_r", "_q", "_k", "_c", "_ends", "_at", "_base", "y", "half", "held_out", "row", "ha", "word", "a.b"]
+    more = docs.select("*", *[F.lit(k).alias(x) for k, x in enumerate(names)])
+    full = more.select("*", *[F.lit("?").alias(x) for x in ("kept_text", "n_lines", "n_dropped", "shard", "slot")])
+    rows = lambda df, *c: Counter(map(tuple, df.select(*c).collect()))
+    out = line_dedup.dedup_lines(full)
+    assert len(set(out.columns)) == len(out.columns) and all(out.first()[x] == k for k, x in enumerate(names))
+    columns = ("doc_id", "extra", "kept_text", "n_lines", "n_dropped")
+    assert rows(out, *columns) == rows(line_dedup.dedup_lines(docs), *columns)
+    out = sharding.shuffle_shards(full, 3, key=["doc_id", "text", "extra", "segment"], blocks=8, cells=4)
+    assert len(set(out.columns)) == len(out.columns) and all(out.first()[x] == k for k, x in enumerate(names))
+    columns = ("doc_id", "extra", "shard", "slot")
+    assert rows(out, *columns) == rows(sharding.shuffle_shards(docs, 3, blocks=8, cells=4), *columns)
+    labels = spark.createDataFrame([(4, 1, 0), (7, 0, 1), (8, 0, 1), (10, 1, 1)], "doc_id long, toxic int, half int")
+    assert rows(toxicity.scored(full, labels), "doc_id", "score") == rows(toxicity.scored(docs, labels), "doc_id", "score")
+    assert rows(near_dedup.near_duplicates(full), "doc_id", "component_id") == rows(near_dedup.near_duplicates(docs), "doc_id", "component_id")
+    items = spark.createDataFrame([(1, " ".join(texts()[4][1].split()[:12]), "x", 3)], "item_id long, text string, term string, df int")
+    assert rows(decontaminate.contamination(full, items), "doc_id", "n_hit") == rows(decontaminate.contamination(docs, items), "doc_id", "n_hit")
+
+
 def test_sharding(spark, docs, none):
     got = sharding.shuffle_shards(docs, 3, blocks=8, cells=4).collect()
     sizes = Counter(r["shard"] for r in got)
