@@ -5,26 +5,39 @@ of near copies (similarity 0.8 or more) the smallest doc_id stays. 4. decontamin
 passage go. 5. BPE: what is left is encoded, with the token ids.
 
 All columns of documents stay until the last stage; n_chars is set anew where texts change. Null texts count as empty.
+Rows are told apart by doc_id; one without it by its text, and it counts as larger than all others in near-dedup.
+Rows that share a doc_id go together in the stages that filter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
 from ridgeline.llm.common import written
 
 
-def _joined(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _id(docs: DataFrame) -> Column:
+    """doc_id, or where it is null a number from 2^62 on that the text gives."""
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    return F.coalesce(docs["doc_id"].cast("long"), own)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(_id(docs).alias("doc_id"), "text")
+
+
+def _filtered(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose id is (left_semi) or isn't (left_anti) among ids(doc_id)."""
+    ids = ids.select(F.col("doc_id").alias("_id"))
+    return docs.join(ids, _id(docs) == ids["_id"], how)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    found = toxicity.scored(docs, labels)
-    gone = found.where("predicted = 1").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = toxicity.scored(_keyed(docs), labels)
+    return _filtered(docs, found.where("predicted = 1"), "left_anti")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +47,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _joined(docs, near_dedup.near_duplicates(docs, percent=80).where("kept"))
+    found = near_dedup.near_duplicates(_keyed(docs), percent=80)
+    return _filtered(docs, found.where("kept"), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("n_hit > 0").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    found = decontaminate.contamination(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _filtered(docs, found.where("n_hit > 0"), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
