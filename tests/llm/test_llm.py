@@ -353,6 +353,31 @@ def test_pipeline(spark):
             clean = lambda w: not any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
             assert {i for i in before if clean(decontaminate.words(before[i]))} == set(after)
 
+
+def test_pipeline_cases(spark, tmp_path):
+    """Rows without an id stay where they are clean, whatever other such rows hold; empty tables give empty results."""
+    import corpus_pipeline
+
+    item = " ".join(f"b{k}" for k in range(14))
+    rng = random.Random(3)
+    clean = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(3)]
+    rows = [(None, clean[0]), (None, clean[1]), (None, f"start {item} end"), (5, clean[2]), (None, clean[2]), (9, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, n int")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, got in (("some", docs), ("none", docs.limit(0))):
+        got.write.parquet(f"{tmp_path}/{name}.parquet")
+        got = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            got = common.written(stage(spark, got, str(tmp_path)), "test-stage")
+            assert got.columns == docs.columns
+        # line dedup empties the copy, and texts without words are linked with nothing
+            want = [(None, clean[0]), (None, clean[1]), (5, clean[2]), (None, ""), (9, None), (None, None)] if name == "some" else []
+        assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(want)
+        last = corpus_pipeline.STAGES[-1][1](spark, got, str(tmp_path)).collect()
+        assert Counter(r["doc_id"] for r in last) == Counter(i for i, _ in want)
+
+
 def test_most_frequent_keeps_counts_whole(spark):
     rows = [(bytearray(w.encode()), c) for w, c in [("a", 9), ("b", 5), ("d", 5), ("c", 2), ("big", 100_000), ("bigger", 200_000)]]
     counts = spark.createDataFrame(rows, "word binary, c long")
