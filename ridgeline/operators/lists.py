@@ -46,6 +46,30 @@ def swap_with_next(df: DataFrame, keys: list[str], seq: str, at: Column) -> Data
     return df.withColumn(seq, moved)
 
 
+def duplicate(df: DataFrame, seq: str, at: Column) -> DataFrame:
+    """df with a copy of the row at place `at` right after it; later rows move down. Local to a row, no exchange."""
+    kind = df.schema[seq].dataType
+    shift = F.when(F.col(seq) == at, F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col(seq) > at).cast("int")))
+    return df.withColumn("_shift", F.explode(shift)).withColumn(seq, (F.col(seq) + F.col("_shift")).cast(kind)).drop("_shift")
+
+
+def delete_at(df: DataFrame, seq: str, at: Column) -> DataFrame:
+    """df without the row at place `at`; later rows move up. Local to a row, no exchange."""
+    return df.where(~F.col(seq).eqNullSafe(at)).withColumn(seq, (F.col(seq) - (F.col(seq) > at).cast("int")).cast(df.schema[seq].dataType))
+
+
+def splice(df: DataFrame, keys: list[str], seq: str, at: int, rows: DataFrame) -> DataFrame:
+    """df with rows (the same columns, places from 0) put before place `at` of their key, or at the end of a shorter one."""
+    kind = df.schema[seq].dataType
+    added = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    sizes = df.groupBy(*keys).agg((F.max(seq) + 1).alias("_size"))
+    room = F.when(F.col(seq) >= at, F.coalesce("_n", F.lit(0))).otherwise(0)
+    old = df.join(added, keys, "left").withColumn(seq, (F.col(seq) + room).cast(kind)).drop("_n")
+    start = F.least(F.lit(at), F.coalesce("_size", F.lit(0)))
+    new = rows.join(sizes, keys, "left").withColumn(seq, (F.col(seq) + start).cast(kind))
+    return old.unionByName(new.select(*old.columns))
+
+
 def invert(m: Column) -> Column:
     """A map with keys and values swapped; of equal values the last entry wins."""
     entries = F.map_entries(m)

@@ -10,7 +10,7 @@ from ..functions import lookups as L
 from ..operators import capture as C
 from ..operators import lists as O
 from ..operators import steps as S
-from ..schemas import DIRECTIONS, STEPS
+from ..schemas import DIRECTIONS, NEUTRAL, STEPS
 
 DAY_MS = 86_400_000
 
@@ -191,7 +191,61 @@ def subrates(spark, d):
     return table(spark, d, "events").select(tick.alias("tick")).agg(F.count_if(F.col("tick") % 10 == 0).alias("each_1s"), F.count_if(F.col("tick") % 30 == 0).alias("each_3s"), F.count_if(F.col("tick") % 50 == 0).alias("each_5s"))
 
 
-QUERIES = {f.__name__: f for f in (change_detect, near_dup_suppress, compile_steps, compile_mirrored, normalize_steps, decode_events, step_display, new_steps, running_clock, repeat_expand, mirror_lookup, fuse_directions, button_parse, remap_ids, elapsed_time, merge_sources, rising_edges, session_bracket, debounce_last, first_match, renumber_after_delete, rebind, lowest_free, distinct_first_seen, last_300, anti_then_union, json_field, move_down, bindings_join, macro_sizes, clamp_inputs, subrates)}
+def _nation_list(spark, d):
+    x = table(spark, d, "nation").select("n_regionkey", "n_name", F.col("n_nationkey").cast("int").alias("k"))
+    return O.renumber(x, ["n_regionkey"], ["k"], "seq").drop("k")
+
+
+def move_up(spark, d):
+    return O.swap_with_next(_nation_list(spark, d), ["n_regionkey"], "seq", F.lit(2) - 1)
+
+
+def duplicate_row(spark, d):
+    return O.duplicate(_nation_list(spark, d), "seq", F.lit(1))
+
+
+def delete_row(spark, d):
+    return O.delete_at(_nation_list(spark, d), "seq", F.lit(1))
+
+
+def splice_rows(spark, d):
+    new = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("n_name"), F.explode(F.array(F.lit(0), F.lit(1))).alias("seq"))
+    return O.splice(_nation_list(spark, d), ["n_regionkey"], "seq", 2, new.where("n_regionkey <> 3"))
+
+
+def direction_codes(spark, d):
+    name = F.get(F.array(*map(F.lit, [*DIRECTIONS, "none"])), (F.col("event_id") % 10).cast("int"))
+    x, y = (F.col("event_id") % 5 - 2).cast("int"), (F.col("user_id") % 3 - 1).cast("int")
+    return table(spark, d, "events").select("event_id", L.direction_x(name).alias("hx"), L.direction_y(name).alias("hy"), L.direction_name(x, y).alias("name"), L.mirror_x(x, y).alias("mirrored_x"))
+
+
+def combo_split(spark, d):
+    text = F.concat_ws("+", F.lit("a"), F.col("p_size").cast("string"), F.lit(" RB "))
+    return table(spark, d, "part").select("p_partkey", F.posexplode(L.button_ids(text)).alias("pos", "button"))
+
+
+def mask_buttons(spark, d):
+    return table(spark, d, "lineitem").where(~F.col("l_quantity").between(11, 14)).groupBy("l_quantity").agg(F.count("*").alias("n"))
+
+
+def process_match(spark, d):
+    name = F.lower("c_name")
+    full = F.when(name.endswith(".exe"), name).otherwise(F.concat(name, F.lit(".exe")))
+    return table(spark, d, "customer").select("c_custkey", (full == "customer#000000007.exe").alias("same"), F.col("c_mktsegment").contains("BUILD").alias("titled"))
+
+
+def name_of_index(spark, d):
+    names = table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    return table(spark, d, "supplier").join(names, "s_nationkey", "left").select("s_suppkey", F.coalesce("n_name", F.lit("unbound")).alias("name"))
+
+
+def inverse_map(spark, d):
+    m = F.map_from_arrays(F.array(*map(F.lit, (1, 2, 3))), F.array(F.col("n_nationkey").cast("int"), F.col("n_regionkey").cast("int"), F.lit(5)))
+    put = O.put_one_to_one(m, F.lit(2), F.lit(5))
+    return table(spark, d, "nation").select("n_nationkey", O.invert(m)[5].alias("key_of_5"), F.size(O.invert(m)).alias("n_keys"), F.size(put).alias("n_put"), put[2].alias("put_2"))
+
+
+QUERIES = {f.__name__: f for f in (change_detect, near_dup_suppress, compile_steps, compile_mirrored, normalize_steps, decode_events, step_display, new_steps, running_clock, repeat_expand, mirror_lookup, fuse_directions, button_parse, remap_ids, elapsed_time, merge_sources, rising_edges, session_bracket, debounce_last, first_match, renumber_after_delete, rebind, lowest_free, distinct_first_seen, last_300, anti_then_union, json_field, move_down, bindings_join, macro_sizes, clamp_inputs, subrates, move_up, duplicate_row, delete_row, splice_rows, direction_codes, combo_split, mask_buttons, process_match, name_of_index, inverse_map)}
 
 _dirs = "[" + ", ".join(f"'{k}'" for k in DIRECTIONS) + "]"
 _case = lambda at, items: f"CASE {at} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in items.items())
@@ -207,6 +261,10 @@ _clock = """clock AS (
   FROM (SELECT *, CASE WHEN type = 'tap' AND rep > 0 THEN rep * 50 + (rep - 1) * 30 ELSE 0 END AS len FROM steps WHERE type <> 'comment'))"""
 _ids = "CASE WHEN btn = 'A+rb' THEN [0, 5] ELSE [3] END"
 
+_list = "r AS (SELECT n_regionkey, n_name, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS s, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation)"
+_name = "([" + ", ".join(f"'{k}'" for k in [*DIRECTIONS, "none"]) + "])[event_id % 10 + 1]"
+_vector = {f"{x},{y}": f"'{k}'" for k, (x, y) in DIRECTIONS.items()}
+
 ORACLES = {
     "change_detect": "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type",
     "near_dup_suppress": f"""
@@ -277,4 +335,14 @@ SELECT macro_id, seq, type, CASE WHEN type = 'wait' THEN delay END AS delay, CAS
     "macro_sizes": "SELECT user_id, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'view') AS n_waits FROM events GROUP BY user_id",
     "clamp_inputs": "SELECT p_partkey, greatest(p_size - 10, 0) AS delay, greatest(p_size - 10, 1) AS rep FROM part",
     "subrates": "SELECT count(*) FILTER (WHERE k % 10 = 0) AS each_1s, count(*) FILTER (WHERE k % 30 = 0) AS each_3s, count(*) FILTER (WHERE k % 50 = 0) AS each_5s FROM (SELECT epoch_us(ts) // 100000 AS k FROM events)",
+    "move_up": f"WITH {_list} SELECT n_regionkey, n_name, CAST(CASE WHEN s = 1 AND n > 2 THEN 2 WHEN s = 2 THEN 1 ELSE s END AS INTEGER) AS seq FROM r",
+    "duplicate_row": f"WITH {_list} SELECT n_regionkey, n_name, CASE WHEN s > 1 THEN s + 1 ELSE s END AS seq FROM r UNION ALL SELECT n_regionkey, n_name, 2 FROM r WHERE s = 1",
+    "delete_row": f"WITH {_list} SELECT n_regionkey, n_name, CASE WHEN s > 1 THEN s - 1 ELSE s END AS seq FROM r WHERE s <> 1",
+    "splice_rows": f"WITH {_list} SELECT n_regionkey, n_name, CASE WHEN s >= 2 AND n_regionkey <> 3 THEN s + 2 ELSE s END AS seq FROM r UNION ALL SELECT r_regionkey, r_name, CAST(k + least(2, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey)) AS INTEGER) FROM region, range(2) t(k) WHERE r_regionkey <> 3",
+    "direction_codes": f"SELECT event_id, CAST({_case(_name, {k: v[0] for k, v in DIRECTIONS.items()})} ELSE 0 END AS INTEGER) AS hx, CAST({_case(_name, {k: v[1] for k, v in DIRECTIONS.items()})} ELSE 0 END AS INTEGER) AS hy, {_case("(event_id % 5 - 2) || ',' || (user_id % 3 - 1)", _vector)} ELSE '{NEUTRAL}' END AS name, CAST(CASE WHEN abs(event_id % 5 - 2) <= 1 THEN 2 - event_id % 5 ELSE event_id % 5 - 2 END AS INTEGER) AS mirrored_x FROM events",
+    "combo_split": "SELECT p_partkey, CAST(k AS INTEGER) AS pos, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN p_size ELSE 5 END AS INTEGER) AS button FROM part, range(3) t(k)",
+    "mask_buttons": "SELECT l_quantity, count(*) AS n FROM lineitem WHERE l_quantity NOT BETWEEN 11 AND 14 GROUP BY l_quantity",
+    "process_match": "SELECT c_custkey, lower(c_name) || CASE WHEN lower(c_name) LIKE '%.exe' THEN '' ELSE '.exe' END = 'customer#000000007.exe' AS same, c_mktsegment LIKE '%BUILD%' AS titled FROM customer",
+    "name_of_index": "SELECT s_suppkey, coalesce(n_name, 'unbound') AS name FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON n_nationkey = s_nationkey",
+    "inverse_map": "SELECT n_nationkey, 3 AS key_of_5, CAST(len(list_distinct([n_nationkey, n_regionkey, 5])) AS INTEGER) AS n_keys, CASE WHEN n_nationkey = 5 THEN 1 ELSE 2 END AS n_put, 5 AS put_2 FROM nation",
 }
