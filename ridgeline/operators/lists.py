@@ -12,12 +12,22 @@ def renumber(df: DataFrame, keys: list[str], order: list[str], name: str = "idx"
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("int"))
 
 
-def rebind(binds: DataFrame, index: str, deleted: DataFrame) -> DataFrame:
-    """Indices after rows are deleted: -1 for a deleted row, else less the deleted ones before it. deleted: (idx)."""
-    gone = deleted.agg(F.sort_array(F.collect_set("idx")).alias("_gone"))  # an edit's selection: small by nature
-    i = F.col(index)
-    new = F.when(F.array_contains("_gone", i), -1).otherwise(i - F.size(F.filter("_gone", lambda g: g < i)))
-    return binds.crossJoin(F.broadcast(gone)).withColumn(index, new).drop("_gone")
+def rebind(binds: DataFrame, index: str, deleted: DataFrame, width: int = 4096) -> DataFrame:
+    """Indices after rows are deleted: -1 for a deleted row, else less the deleted ones before it. deleted: (idx).
+
+    Deleted rows are counted within bins of `width` indices and over the bins before, so no task or list holds them
+    all; only the bins, one row each, are summed in one place. A null index stays null.
+    """
+    kind = binds.schema[index].dataType
+    gone = deleted.select(F.col("idx").alias("_i"), F.lit(1).alias("_gone"))
+    asked = binds.select(F.col(index).alias("_i"), F.lit(0).alias("_gone"))
+    marks = gone.union(asked).where("_i IS NOT NULL").groupBy("_i").agg(F.max("_gone").alias("_gone")).withColumn("_bin", F.floor(F.col("_i") / width))
+    inside = F.sum("_gone").over(Window.partitionBy("_bin").orderBy("_i"))
+    bins = marks.groupBy("_bin").agg(F.sum("_gone").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_bin")) - F.col("_n"))
+    new = F.when(F.col("_gone") == 1, -1).otherwise(F.col("_i") - F.col("_before") - inside)
+    places = marks.join(bins, "_bin").select("_i", new.alias("_new"))
+    out = binds.join(places, binds[index] == places["_i"], "left")
+    return out.withColumn(index, F.col("_new").cast(kind)).select(*binds.columns)
 
 
 def first_match(df: DataFrame, keys: list[str], order: str) -> DataFrame:

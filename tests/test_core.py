@@ -70,6 +70,9 @@ def test_buttons_axes_ordinals_bindings(spark):
     binds = spark.createDataFrame([(0, 0), (1, 2), (2, 3)], "s int, idx int")
     gone = spark.createDataFrame([(1,), (2,)], "idx int")
     assert [r["idx"] for r in O.rebind(binds, "idx", gone).orderBy("s").collect()] == [0, -1, 1]
+    many = spark.createDataFrame([(i, i if i < 12 else None) for i in range(-1, 13)], "s int, idx int")
+    want = [-1, 0, -1, 1, 2, 3, -1, -1, 4, 5, 6, 7, 8, None]
+    assert [r["idx"] for r in O.rebind(many, "idx", spark.createDataFrame([(1,), (5,), (6,), (6,), (None,), (99,)], "idx int"), width=3).orderBy("s").collect()] == want
     m = spark.range(1).select(O.invert(F.expr("map(1, 5, 2, 6, 3, 5)")).alias("i"), O.put_one_to_one(F.expr("map(1, 5, 2, 6)"), F.lit(3), F.lit(5)).alias("p")).first()
     assert m["i"] == {6: 2, 5: 3} and m["p"] == {2: 6, 3: 5}
 
