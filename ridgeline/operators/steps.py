@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
-from ..schemas import NEUTRAL, TAP
+from ..schemas import NEUTRAL, STEP, TAP
 
 
 def _or(name: str, default) -> Column:
@@ -68,14 +68,34 @@ def normalize_steps(steps: DataFrame) -> DataFrame:
     return s.select("macro_id", "seq", F.posexplode(both).alias("pos", "s")).where("s IS NOT NULL").select("macro_id", "seq", "pos", *[f"s.{c}" for c in names])
 
 
+def _label() -> Column:
+    """What a step is shown as, without its place."""
+    btn, direction = _or("btn", "A"), _or("dir", NEUTRAL)
+    text = F.when(_or("type", "wait") == "wait", F.concat(F.lit("延迟 "), F.bround(_or("delay", 0.0), 0).cast("bigint").cast("string"), F.lit("ms")))
+    text = text.when(F.col("type") == "press", F.concat(F.lit("按下 "), btn)).when(F.col("type") == "release", F.concat(F.lit("松开 "), btn)).when(F.col("type") == "dir", F.concat(F.lit("方向 "), direction))
+    tap = F.format_string("连按 %s ×%d  (%d/%dms)", btn, *[_or(c, v) for c, v in TAP.items()])
+    return text.when(F.col("type") == "tap", tap).when(F.col("type") == "comment", F.concat(F.lit("// "), _or("text", ""))).otherwise(F.col("type"))
+
+
 def display(steps: DataFrame) -> DataFrame:
     """steps with the column label; numbers are places within the macro, from 1."""
     place = F.format_string("%3d.  ", F.row_number().over(Window.partitionBy("macro_id").orderBy("seq")))
-    s = _filled(steps)
-    text = F.when(F.col("type") == "wait", F.concat(F.lit("延迟 "), F.bround("delay", 0).cast("bigint").cast("string"), F.lit("ms")))
-    text = text.when(F.col("type") == "press", F.concat(F.lit("按下 "), "btn")).when(F.col("type") == "release", F.concat(F.lit("松开 "), "btn")).when(F.col("type") == "dir", F.concat(F.lit("方向 "), "dir"))
-    text = text.when(F.col("type") == "tap", F.format_string("连按 %s ×%d  (%d/%dms)", "btn", "rep", "dur", "gap")).when(F.col("type") == "comment", F.concat(F.lit("// "), _or("text", ""))).otherwise(F.col("type"))
-    return s.withColumn("label", F.concat(place, text))
+    return _filled(steps).withColumn("label", F.concat(place, _label()))
+
+
+def toggle_comments(steps: DataFrame, chosen: Column) -> DataFrame:
+    """Chosen steps become comments that keep the step in disabled_step; comments that keep one become it again; other
+    chosen comments go. Places are not renumbered. Local to a row, no exchange."""
+    names = [c.split()[0] for c in STEP.split(", ")]
+    kept = F.col("disabled_step") if "disabled_step" in steps.columns else F.lit(None)
+    s = steps.withColumn("disabled_step", kept.cast(f"struct<{STEP}>")).withColumn("_on", F.coalesce(chosen, F.lit(False)))
+    comment, holds = F.coalesce(F.col("type") == "comment", F.lit(False)), F.col("disabled_step").isNotNull()
+    s = s.where(~(F.col("_on") & comment & ~holds))
+    note = F.concat(F.lit("(被注释) "), F.regexp_replace(_label(), r"^\s+|\s+$", ""))
+    fresh = {"type": F.lit("comment"), "text": note}
+    values = {c: F.when(~F.col("_on"), F.col(c)).when(comment, F.col(f"disabled_step.{c}")).otherwise(fresh.get(c, F.lit(None))) for c in names}
+    values["disabled_step"] = F.when(~F.col("_on"), F.col("disabled_step")).when(~comment, F.struct(*names))
+    return s.withColumns(values).drop("_on")
 
 
 def replay_events(steps: DataFrame, events: DataFrame, mirror: bool = False) -> DataFrame:

@@ -49,6 +49,15 @@ def test_normalise_is_idempotent(spark):
     assert [(r["type"], r["delay"], r["btn"]) for r in twice] == [(r["type"], r["delay"], r["btn"]) for r in once]
 
 
+def test_toggle_comments(spark):
+    s = steps(spark, {"type": "press", "btn": "B"}, {"type": "wait", "delay": 20.0}, {"type": "comment", "text": "gone"}, {"type": "tap"})
+    once = S.toggle_comments(s, F.col("seq") != 1)
+    assert [(r["seq"], r["type"], r["text"]) for r in once.orderBy("seq").collect()] == [(0, "comment", "(被注释) 按下 B"), (1, "wait", None), (3, "comment", "(被注释) 连按 A ×1  (50/30ms)")]
+    assert [r["t"] for r in S.compile_steps(once.drop("disabled_step")).collect()] == []
+    back = S.toggle_comments(once, F.col("seq") != 1).drop("disabled_step")
+    assert sorted(map(tuple, back.collect())) == sorted(tuple(r) for r in s.where("seq <> 2").collect())
+
+
 def kept(spark, times, values):
     df = spark.createDataFrame([("s", float(t), v) for t, v in zip(times, values)], "s string, t double, v int")
     return [r["t"] for r in C.suppress_repeats(df, ["s"], ["t"], ["v"], "t", 20).orderBy("t").collect()]
