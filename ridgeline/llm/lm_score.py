@@ -5,13 +5,18 @@ Tokens: words of the text with A-Z lower-cased, then one end. Learning takes the
 
 1. Word counts: each task counts its words, then counts are added by word. They stay a table; they grow with the corpus.
 2. The most frequent words, at most `head`, are sent to all tasks (a bounded dictionary), the others never are.
-3. Bigram counts among the `clustered` most frequent words, at most clustered^2 of them.
+3. Bigram counts of the `clustered` most frequent words, of the end and of all others as one: (clustered + 2)^2 at most.
 4. Exchange clustering on the driver over that bounded matrix: each word in turn moves to the class in which the
-   training bigrams are likeliest, until no word moves or `sweeps` are over. Words beyond have a class by their ending.
-5. Class transitions, classes^2 counts over all training tokens.
+   training bigrams are likeliest, until no word moves or `sweeps` are over. The end and the others stay apart.
+5. The other words of the head, then all words beyond it: each word's bigrams with each class are counted, and the word
+   moves from the others to the class where the gain is best. Words of such a block move at once, so a block may have any
+   size; it stays distributed. Bigrams with words that have no class yet count as bigrams with the others.
+6. Class transitions over all training tokens: counted in the last pass for words of the head, from the words' counts by
+   class for the words beyond, and by a join for two of these in a row.
 
-Scoring: transitions need no counts of rare words, and words of the head are scored where the text is read. What is
-left, the rare words of a text with their numbers, meets the word counts in a join by word; sums go back by row.
+Scoring: words of the head are scored where the text is read. What is left, the rare words of a text and the transitions
+that touch them, meets the words' counts and classes in a join by word; they go back by row. A word that training lacks
+has no bigrams: it takes the class that holds the most training words of its ending (crc32 of 3 bytes, modulo 64).
 
 P(text) = product of P(class | class before) * P(word | class); the end is a class of its own and also the start.
 P(word | class) = (c + 1) / (N_class + V_class + 1): the last 1 is the class's share for all unknown words.
@@ -27,6 +32,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -44,7 +50,7 @@ def tokens(text: str | None) -> list[bytes]:
     return text_bytes(text).translate(LOWER_BYTES).split()
 
 
-def ending_class(word: bytes) -> int:
+def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
@@ -85,13 +91,17 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(got, key=lambda x: (-x[1], x[0]))
 
 
-def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+
+
+def exchange(bigrams: np.ndarray, classes: int, sweeps: int, fixed: int = 0) -> np.ndarray:
     """The class of each word by exchange clustering: maximises the sum of n log n over class pairs less twice that over
-    classes. bigrams: a square matrix; words in order of frequency, dealt to classes in turn at first."""
-    n = len(bigrams)
-    of = np.arange(n) % classes
-    f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
-    hot = np.zeros((n, classes))
+    classes. bigrams: a square matrix; words in order of frequency, dealt to classes in turn at first. The last `fixed`
+    words stay in classes of their own, beyond the others'."""
+    n, f = len(bigrams), xlogx
+    of = np.concatenate([np.arange(n - fixed) % classes, classes + np.arange(fixed)])
+    hot = np.zeros((n, classes + fixed))
     hot[np.arange(n), of] = 1
     out, into = bigrams @ hot, bigrams.T @ hot  # by word: to and from each class
     pair = hot.T @ out
@@ -99,7 +109,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     row, col = pair.sum(1), pair.sum(0)
     for _ in range(sweeps):
         moved = 0
-        for w in range(n):
+        for w in range(n - fixed):
             a, self_ = of[w], bigrams[w, w]
             o, i = out[w].copy(), into[w].copy()
             o[a] -= self_
@@ -116,7 +126,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
             gain -= f(diagonal + o) - f(diagonal) + f(diagonal + i) - f(diagonal)
             gain += f(diagonal + o + i + self_) - f(diagonal)
             gain -= f(row + left[w]) - f(row) + f(col + right[w]) - f(col)
-            b = int(np.argmax(gain))
+            b = int(np.argmax(gain[:classes]))
             if gain[b] <= gain[a] + 1e-9:
                 b = a
             pair[b] += o
@@ -136,8 +146,67 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     return of
 
 
+class Gains:
+    """Moves words from the others to the classes of best gain, as exchange() would move each alone.
+
+    pair: bigrams of the classes, the end and, last, the others. A word's counts have 2 * len(pair) + 1 columns: bigrams
+    from it to each class, to it from each class, and with itself.
+    """
+
+    small = 16
+
+    def __init__(self, pair: np.ndarray):
+        self.pair, self.classes, self.c = pair.astype(float), len(pair) - 2, len(pair)
+        p = np.concatenate([self.pair[: self.classes].T, self.pair[:, : self.classes]])  # by column of counts: cells of each class
+        at = np.arange(self.classes)
+        self.cells = p
+        # cells where row and column cross, and those of the others, are dealt with apart
+        self.apart = np.zeros(p.shape, bool)
+        self.apart[at, at] = self.apart[self.c + at, at] = True
+        self.apart[self.c - 1] = self.apart[2 * self.c - 1] = True
+        self.table = np.stack([self._more(np.arange(len(p)), np.full(len(p), k)) for k in range(self.small + 1)])
+
+    def _more(self, column: np.ndarray, k: np.ndarray) -> np.ndarray:
+        x = self.cells[column]
+        return np.where(self.apart[column], 0.0, xlogx(x + k[:, None]) - xlogx(x))
+
+    def best(self, counts: np.ndarray) -> np.ndarray:
+        """The class of each word by its row of counts."""
+        c, n, f = self.c, self.classes, xlogx
+        to, from_, own = counts[:, :c], counts[:, c : 2 * c], counts[:, 2 * c].astype(float)
+        gain = np.zeros((len(counts), n))
+        w, column = np.nonzero(counts[:, : 2 * c])
+        k = counts[w, column]
+        for a in range(0, len(w), 1 << 15):
+            part = slice(a, a + (1 << 15))
+            more = self.table[np.minimum(k[part], self.small), column[part]]
+            big = np.flatnonzero(k[part] > self.small)
+            more[big] = self._more(column[part][big], k[part][big])
+            first = np.flatnonzero(np.diff(w[part], prepend=-1))
+            gain[w[part][first]] += np.add.reduceat(more, first)
+        diagonal = self.pair.diagonal()[:n]
+        w, b = np.nonzero(to[:, :n] + from_[:, :n] + own.astype(np.int64)[:, None])
+        gain[w, b] += f(diagonal[b] + to[w, b] + from_[w, b] + own[w]) - f(diagonal[b])
+        # bigrams with the word leave the cells of the others, those with the others come to the class
+        for x, y, cells in ((to, from_, self.pair[:n, -1]), (from_, to, self.pair[-1, :n])):
+            w = np.flatnonzero(x[:, -1])
+            left = cells - y[w, :n]
+            gain[w] += f(left + x[w, -1:]) - f(left)
+        for x, sums in ((to, self.pair[:n].sum(1)), (from_, self.pair[:, :n].sum(0))):
+            total = x.sum(1) + own
+            gain -= f(sums + total[:, None]) - f(sums)
+        return gain.argmax(1) if n else np.zeros(len(counts), np.int64)
+
+
+def counts_of(codes: list[list[int]], width: int) -> np.ndarray:
+    """Rows of `width` counts from lists of count * width + column."""
+    x = np.fromiter(chain.from_iterable(codes), np.int64, sum(map(len, codes)))
+    row = np.repeat(np.arange(len(codes)), np.fromiter(map(len, codes), np.int64, len(codes)))
+    return np.bincount(row * width + x % width, x // width, len(codes) * width).astype(np.int64).reshape(len(codes), width)
+
+
 class Words(dict):
-    """word -> its id: head words by rank from `first` on, else the class of the ending (0 to ENDINGS - 1)."""
+    """word -> its id: head words by rank from ENDINGS on, else the number of the ending (0 to ENDINGS - 1)."""
 
     most = 300_000
 
@@ -149,20 +218,19 @@ class Words(dict):
         if len(self) > len(self.head) + self.most:
             self.clear()
             self.update(self.head)
-        x = self[word] = ending_class(word)
+        x = self[word] = ending(word)
         return x
 
 
 class Model:
     """What is sent to all tasks: ids of the head's words, their classes and counts, log transitions, class sizes."""
 
-    def __init__(self, head: list[bytes], counts: np.ndarray, classes: np.ndarray, n_classes: int):
+    def __init__(self, head: list[bytes], counts: np.ndarray, n_classes: int, end: int):
         self.ids = {w: ENDINGS + k for k, w in enumerate(head)}
         self.counts = np.concatenate([np.zeros(ENDINGS, np.int64), counts])
-        #: id -> class; the endings come first, the end is the last class
-        self.classes = np.concatenate([np.arange(ENDINGS), classes]).astype(np.int64)
-        self.n_classes = n_classes
-        self.end = n_classes - 1
+        #: id -> class; the endings come first
+        self.classes = np.zeros(ENDINGS + len(head), np.int64)
+        self.n_classes, self.end = n_classes, end
 
     def coded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
         """Ids of all words, words of each text, the words."""
@@ -183,74 +251,170 @@ class Model:
         return np.concatenate([[self.end], after[:-1]]) if len(after) else after, after
 
 
-def train(texts: DataFrame, head: int = 100_000, clustered: int = 1_000, classes: int = 64, sweeps: int = 4, strength: float = 100.0) -> tuple[Model, DataFrame, int, int]:
-    """The model, the count table, N and V."""
+def train(texts: DataFrame, head: int = 100_000, clustered: int = 1_000, classes: int = 64, sweeps: int = 4, strength: float = 100.0, most: int = 500_000) -> tuple[Model, DataFrame, int, int]:
+    """The model, the words beyond the head as (word, c, class), N and V."""
     spark = texts.sparkSession
     counts = word_counts(texts)
-    n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
+    n, v, ends = (x or 0 for x in counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))).first())
     top = most_frequent(counts.where(F.col("word") != F.lit(END)), head)
     words, c = [w for w, _ in top], np.array([x for _, x in top], np.int64)
     few = min(clustered, len(words))
-    n_classes = ENDINGS + classes + 1
-    model = Model(words, c, np.array([ending_class(w) for w in words], np.int64), n_classes)
-    if few:
+    # while learning: the classes, the end, the others
+    end, others, width = classes, classes + 1, 2 * (classes + 2) + 1
+    model = Model(words, c, classes + 2, end)
+    model.ends = ends
+    # the words of the first block, the end and the others as classes of their own
+    model.n_classes, model.end = few + 2, few
+    model.classes[:] = few + 1
+    model.classes[ENDINGS : ENDINGS + few] = np.arange(few)
+
+    def pairs(m: Model):
+        def run(batches):
+            own, total = m.get().start(), None
+            size = own.n_classes
+            total = np.zeros(size * size, np.int64)
+            for b in batches:
+                before, after = own.steps(*own.coded(b["text"])[:2])
+                total += np.bincount(before * size + after, minlength=size * size)
+            at = np.flatnonzero(total)
+            yield {"p": at.tolist(), "k": total[at].tolist()}
+
+        return run
+
+    def matrix(got: DataFrame, size: int) -> np.ndarray:
+        got = got.groupBy("p").agg(F.sum("k").alias("k")).toPandas()  # at most size^2 rows
+        out = np.zeros(size * size)
+        out[got["p"].to_numpy(np.int64)] = got["k"].to_numpy()
+        return out.reshape(size, size)
+
+    first = matrix(map_batches(texts.select("text"), pairs(Shared(spark, model)), "p long, k long"), few + 2)
+    of = exchange(first, classes, sweeps, fixed=2)
+    hot = np.zeros((few + 2, classes + 2))
+    hot[np.arange(few + 2), of] = 1
+    pair = hot.T @ first @ hot
+    model.n_classes, model.end = classes + 2, end
+    model.classes[:] = others
+    model.classes[ENDINGS : ENDINGS + few] = of[:few]
+
+    if few < len(words):
         sent = Shared(spark, model)
 
-        def bigrams(batches):
-            m, total = sent.get().start(), np.zeros(few * few, np.int64)
+        def head_contexts(batches):
+            m = sent.get().start()
+            total = np.zeros((len(m.ids) - few) * width, np.int32)
             for b in batches:
                 ids, lengths, _ = m.coded(b["text"])
-                x = ids - ENDINGS
-                x = np.where(x < few, x, -1)
-                inner = np.ones(max(len(x) - 1, 0), bool)
-                inner[(np.cumsum(lengths)[:-1] - 1)[(np.cumsum(lengths)[:-1] > 0) & (np.cumsum(lengths)[:-1] < len(x))]] = False
-                ok = inner & (x[:-1] >= 0) & (x[1:] >= 0)
-                total += np.bincount(x[:-1][ok] * few + x[1:][ok], minlength=few * few)
+                before, after = m.steps(ids, lengths)
+                all_ids = np.full(len(after), -1)
+                all_ids[np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), lengths)] = ids
+                at = np.flatnonzero(all_ids >= ENDINGS + few)
+                w = all_ids[at]
+                # a text's words end with its end, so at + 1 is there
+                to, from_ = np.where(all_ids[at + 1] == w, width - 1, after[at + 1]), before[at] + classes + 2
+                other_from = np.where(at > 0, all_ids[at - 1], -1) != w
+                row = (w - ENDINGS - few) * width
+                np.add.at(total, row + to, 1)
+                np.add.at(total, (row + from_)[other_from], 1)
             at = np.flatnonzero(total)
-            yield {"p": at.tolist(), "k": total[at].tolist()}
+            for a in range(0, len(at), 1 << 16):
+                x = at[a : a + (1 << 16)]
+                yield {"w": (x // width).tolist(), "p": (x % width).tolist(), "k": total[x].tolist()}
+
+        best = Shared(spark, Gains(pair))
+
+        def place(batches):
+            g = best.get()
+            for b in batches:
+                yield {"w": b["w"], "class": g.best(counts_of(b["codes"], width)).tolist()}
+
+        codes = F.collect_list(F.col("k") * width + F.col("p")).alias("codes")  # at most `width` a word
+        sums = map_batches(texts.select("text"), head_contexts, "w long, p long, k long").groupBy("w", "p").agg(F.sum("k").alias("k"))
+        for r in map_batches(sums.groupBy("w").agg(codes), place, "w long, class long").collect():  # at most `head` rows
+            model.classes[ENDINGS + few + r["w"]] = r["class"]
 
-        got = map_batches(texts.select("text"), bigrams, "p long, k long").groupBy("p").agg(F.sum("k").alias("k")).toPandas()  # at most clustered^2 rows
-        matrix = np.zeros(few * few)
-        matrix[got["p"].to_numpy(np.int64)] = got["k"].to_numpy()
-        model.classes[ENDINGS : ENDINGS + few] = ENDINGS + exchange(matrix.reshape(few, few), classes, sweeps)
     sent2 = Shared(spark, model)
 
-    def transitions(batches):
-        m, total = sent2.get().start(), np.zeros(n_classes * n_classes, np.int64)
+    def contexts(batches):
+        """Transitions with the others as one (p, k); bigrams of each of the others with classes (word, p, k), and with each other (word, next, k)."""
+        m, size = sent2.get().start(), classes + 2
+        total, held, both = np.zeros(size * size, np.int64), Counter(), Counter()
+        cut_off = lambda: {
+            "word": [w for w, _ in held] + [w for w, _ in both],
+            "next": [None] * len(held) + [x for _, x in both],
+            "p": [p for _, p in held] + [None] * len(both),
+            "k": [*held.values(), *both.values()],
+        }
         for b in batches:
-            before, after = m.steps(*m.coded(b["text"])[:2])
-            total += np.bincount(before * n_classes + after, minlength=n_classes * n_classes)
+            ids, lengths, cut = m.coded(b["text"])
+            before, after = m.steps(ids, lengths)
+            total += np.bincount(before * size + after, minlength=size * size)
+            flat = list(chain.from_iterable(cut))
+            place_ = np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), lengths)
+            rare = np.flatnonzero(ids < ENDINGS)
+            at = place_[rare]
+            for i, f, t in zip(rare.tolist(), (before[at] + size).tolist(), after[at + 1].tolist()):
+                w = flat[i]
+                if t == others:
+                    x = flat[i + 1]
+                    both[w, x] += 1
+                    if x == w:
+                        t = width - 1
+                held[w, t] += 1
+                if f != others + size or flat[i - 1] != w:
+                    held[w, f] += 1
+            if len(held) + len(both) > most:
+                yield cut_off()
+                held, both = Counter(), Counter()
+        yield cut_off()
         at = np.flatnonzero(total)
-        yield {"p": at.tolist(), "k": total[at].tolist()}
+        yield {"word": [None] * len(at), "next": [None] * len(at), "p": at.tolist(), "k": total[at].tolist()}
 
-    got = map_batches(texts.select("text"), transitions, "p long, k long").groupBy("p").agg(F.sum("k").alias("k")).toPandas()  # at most classes^2 rows
-    pair = np.zeros(n_classes * n_classes)
-    pair[got["p"].to_numpy(np.int64)] = got["k"].to_numpy()
-    pair = pair.reshape(n_classes, n_classes)
-    share = (pair.sum(0) + 1) / (pair.sum() + n_classes)
-    model.log_step = np.log10((pair + strength * share) / (pair.sum(1, keepdims=True) + strength))
+    met = written(map_batches(texts.select("text"), contexts, "word binary, next binary, p long, k long"), "lm-contexts")
+    pair = matrix(met.where("word IS NULL"), classes + 2)
+    best2 = Shared(spark, Gains(pair))
 
-    def sizes(batches):
-        m = sent2.get().start()
-        total, kinds = np.zeros(n_classes, np.int64), np.zeros(n_classes, np.int64)
+    def place_rest(batches):
+        """(word, c, class) with the ending and the word's bigrams with classes and the end."""
+        g = best2.get()
         for b in batches:
-            at = m.classes[np.fromiter(map(m.words.__getitem__, b["word"]), np.int64, len(b["word"]))] if b["word"] else np.zeros(0, np.int64)
-            np.add.at(total, at, np.array(b["c"], np.int64))
-            np.add.at(kinds, at, 1)
-        yield {"k": list(range(n_classes)), "n": total.tolist(), "v": kinds.tolist()}
+            x = counts_of(b["codes"], width)
+            yield {
+                "word": b["word"], "c": (x[:, : classes + 2].sum(1) + x[:, -1]).tolist(), "class": g.best(x).tolist(), "ending": [ending(w) for w in b["word"]],
+                "codes": [(r[k := np.flatnonzero(r)] * width + k).tolist() for r in x],
+            }
 
-    by_class = map_batches(counts.where(F.col("word") != F.lit(END)), sizes, "k long, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    model.room = np.ones(n_classes)
-    for r in by_class:
-        model.room[r["k"]] = r["n"] + r["v"] + 1
-    return model, counts, n, v
+    by_word = met.where("word IS NOT NULL AND p IS NOT NULL").groupBy("word").agg(F.collect_list(F.col("k") * width + F.col("p")).alias("codes"))
+    rest = written(map_batches(by_word, place_rest, "word binary, c long, class long, ending long, codes array<long>"), "lm-rest")
+    # at most classes * width rows: bigrams of rare words with classes and the end, then of two rare words
+    pair = pair[: classes + 1, : classes + 1]
+    for r in rest.select("class", F.explode("codes").alias("x")).groupBy("class", F.expr(f"x % {width}").alias("p")).agg(F.sum(F.expr(f"x div {width}")).alias("k")).collect():
+        side, x = divmod(r["p"], classes + 2)
+        if side < 2 and x != others:
+            pair[(r["class"], x) if side == 0 else (x, r["class"])] += r["k"]
+    known = rest.select("word", "c", "class")
+    two = met.where("next IS NOT NULL").groupBy("word", "next").agg(F.sum("k").alias("k")).join(known.select("word", F.col("class").alias("x")), "word")
+    two = two.join(known.select(F.col("word").alias("next"), F.col("class").alias("y")), "next")
+    for r in two.groupBy("x", "y").agg(F.sum("k").alias("k")).collect():  # at most classes^2 rows
+        pair[r["x"], r["y"]] += r["k"]
+    model.n_classes = classes + 1
+    share = (pair.sum(0) + 1) / (pair.sum() + classes + 1)
+    model.log_step = np.log10((pair + strength * share) / (pair.sum(1, keepdims=True) + strength))
+
+    model.room, kinds = np.ones(classes + 1), np.zeros((ENDINGS, classes), np.int64)
+    of = model.classes[ENDINGS:]
+    np.add.at(model.room, of, c + 1)
+    np.add.at(kinds, ([ending(w) for w in words], of), 1)
+    for r in rest.groupBy("ending", "class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # at most ENDINGS * classes rows
+        model.room[r["class"]] += r["n"] + r["v"]
+        kinds[r["ending"], r["class"]] += r["v"]
+    model.classes[:ENDINGS] = np.where(kinds.any(1), kinds.argmax(1), kinds.sum(0).argmax())
+    return model, known, n, v
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, n: int, v: int) -> DataFrame:
+def score(docs: DataFrame, model: Model, known: DataFrame, n: int, v: int) -> DataFrame:
     """docs(doc_id, held_out, text) as doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
-    ends = counts.where(F.col("word") == F.lit(END)).first()
-    ends, room = (ends["c"] if ends else 0), math.log10(n + v + 1)
+    ends, room = model.ends, math.log10(n + v + 1)
     sent = Shared(spark, model)
 
     def run(batches):
@@ -259,39 +423,85 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, n: int, v: int) -> D
         for b in batches:
             ids, lengths, cut = m.coded(b["text"])
             before, after = m.steps(ids, lengths)
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            doc1 = np.repeat(np.arange(len(lengths)), lengths + 1)
             k = len(lengths)
-            steps = np.bincount(doc1, m.log_step[before, after], k)
-            emission = np.bincount(doc, log_c[ids] - log_room[m.classes[ids]], k)  # of rare words without log10(c + 1)
-            known = np.bincount(doc, ids >= ENDINGS, k).astype(np.int64)
+            doc, doc1 = np.repeat(np.arange(k), lengths), np.repeat(np.arange(k), lengths + 1)
+            place = np.arange(len(ids)) + doc
+            rare = ids < ENDINGS
+            # a rare word is -1 - its number among the text's; sides of transitions that touch one go along
+            words, times, guess, number = [], [], [], np.zeros(int(rare.sum()), np.int64)
+            at, start = np.flatnonzero(rare), np.concatenate([[0], np.cumsum(lengths)])
+            bounds, done = np.searchsorted(at, start), 0
+            for d, ws in enumerate(cut):
+                own: dict[bytes, int] = {}
+                held = Counter()
+                for i in (at[bounds[d] : bounds[d + 1]] - start[d]).tolist():
+                    number[done] = own.setdefault(ws[i], len(own))
+                    held[ws[i]] += 1
+                    done += 1
+                words.append(list(own))
+                times.append([held[w] for w in own])
+                guess.append([int(m.classes[m.words[w]]) for w in own])
+            sides = after.copy()
+            sides[place[at]] = -1 - number
+            x, y = np.concatenate([[m.end], sides[:-1]]) if len(sides) else sides, sides
+            open_ = (x < 0) | (y < 0)
+            steps = np.bincount(doc1, np.where(open_, 0.0, m.log_step[before, after]), k)
+            emission = np.bincount(doc, np.where(rare, 0.0, log_c[ids] - log_room[m.classes[ids]]), k)
             base = np.bincount(doc, log_c[ids], k)
-            rare, at = [], 0
-            for ws in cut:
-                tail = ids[at : at + len(ws)] < ENDINGS
-                rare.append(list(Counter(ws[i] for i in np.flatnonzero(tail).tolist()).items()))
-                at += len(ws)
+            ox, oy, cuts = x[open_].tolist(), y[open_].tolist(), np.concatenate([[0], np.cumsum(np.bincount(doc1[open_], minlength=k))]).tolist()
             yield {
-                "row": [(part << 36) + row + i for i in range(k)], "doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": (lengths + 1).tolist(), "n_known": (known + (ends > 0)).tolist(),
+                "row": [(part << 36) + row + i for i in range(k)], "doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": (lengths + 1).tolist(),
+                "n_known": (np.bincount(doc, ~rare, k).astype(np.int64) + (ends > 0)).tolist(),
                 "base": (base + math.log10(ends + 1) - (lengths + 1) * room).tolist(), "score": (steps + emission).tolist(),
-                "words": [[w for w, _ in r] for r in rare], "times": [[x for _, x in r] for r in rare],
+                "words": words, "times": times, "guess": guess, "x": [ox[i:j] for i, j in zip(cuts, cuts[1:])], "y": [oy[i:j] for i, j in zip(cuts, cuts[1:])],
             }
             row += k
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"
+    def finish(batches):
+        m = sent.get()
+        log_room = np.log10(m.room)
+        flat = lambda lists: np.fromiter(chain.from_iterable(lists), np.int64)
+        size = lambda lists: np.fromiter(map(len, lists), np.int64, len(lists))
+        for b in batches:
+            k = len(b["doc_id"])
+            of, times, rare = flat(b["guess"]), flat(b["times"]), size(b["guess"])
+            start, doc = np.cumsum(rare) - rare, np.repeat(np.arange(k), rare)
+            seen = [x or [] for x in b["at"]]
+            at = flat(seen) + np.repeat(start, size(seen))
+            c = np.zeros(len(of), np.int64)
+            of[at], c[at] = flat(x or [] for x in b["class"]), flat(x or [] for x in b["c"])
+            more = np.bincount(doc, times * np.log10(c + 1), k)
+            pairs = size(b["x"])
+            first, side = np.repeat(start, pairs), []
+            for name in ("x", "y"):
+                x = flat(b[name])
+                low = np.flatnonzero(x < 0)
+                x[low] = of[first[low] - 1 - x[low]]
+                side.append(x)
+            steps = np.bincount(np.repeat(np.arange(k), pairs), m.log_step[side[0], side[1]], k)
+            score_ = np.array(b["score"], float) + steps + more - np.bincount(doc, times * log_room[of], k)
+            yield {
+                "doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": b["n_tokens"],
+                "n_known": (np.array(b["n_known"], np.int64) + np.bincount(doc, times * (c > 0), k).astype(np.int64)).tolist(),
+                "base_score": (np.array(b["base"], float) + more).tolist(), "score": score_.tolist(),
+            }
+
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>, guess array<int>, x array<int>, y array<int>"
     local = written(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text"), run, schema), "lm-local")
-    rare = local.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    met = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"))
-    full = local.drop("words", "times").join(met, "row", "left").na.fill(0, ["more_known"]).na.fill(0.0, ["more"])
-    return full.select(
+    rare = local.select("row", F.posexplode("words").alias("at", "word"))
+    # one list a text, bounded by its words
+    met = rare.join(known, "word").groupBy("row").agg(F.collect_list(F.struct("at", "c", "class")).alias("met")).select("row", "met.at", "met.c", "met.class")
+    full = local.drop("words").join(met, "row", "left")
+    out = map_batches(full, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.col("more_known")).alias("n_known"),
+        "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("more")).alias("base_score"),
-        (F.col("score") + F.col("more")).alias("score"),
-        F.pow(F.lit(10.0), -(F.col("score") + F.col("more")) / F.col("n_tokens")).alias("perplexity"),
+        "base_score",
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
 
 

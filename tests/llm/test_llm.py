@@ -388,3 +388,48 @@ def test_most_frequent_keeps_counts_whole(spark):
     assert took(5) == ["bigger", "big", "a", "b", "d"]
     assert took(100) == ["bigger", "big", "a", "b", "d", "c"]
     assert lm_score.most_frequent(counts.where("c < 0"), 5) == []
+
+
+def test_lm_score_classes_of_all_words(spark):
+    """Words beyond the exchange's block, in the head and beyond it, get classes by their bigrams; scores follow from these."""
+    rng = random.Random(8)
+    kinds = [[f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]]
+    weights = [1 / (k + 1) for k in range(60)]
+    rows = [(i, " ".join(rng.choices(kinds[j % 2], weights)[0] for j in range(60))) for i in range(90)] + [(90, "a0 new b0 new new"), (91, None), (92, "a59 a59 a59 b59")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.col("doc_id") == 90).repartition(3)
+    model, known, n, v = lm_score.train(d.where("NOT held_out").select("text"), head=40, clustered=8, classes=2, most=50)
+    beyond = {bytes(r["word"]).decode(): (r["class"], r["c"]) for r in known.collect()}
+    of = {w.decode(): int(model.classes[i]) for w, i in model.ids.items()} | {w: x for w, (x, _) in beyond.items()}
+    cut = {i: (t or "").split() for i, t in rows}
+    c = Counter(w for i, ws in cut.items() if i != 90 for w in ws)
+    assert set(of) == set(c) and len(model.ids) <= 40 < len(of) and all(c[w] == k for w, (_, k) in beyond.items())
+    # a59 also follows itself
+    assert {(w[0], x) for w, x in of.items() if w != "a59"} in ({("a", 0), ("b", 1)}, {("a", 1), ("b", 0)})
+    guess = int(model.classes[lm_score.ending(b"new")])
+    path = lambda ws: [2, *(of.get(w, guess) for w in ws), 2]
+    pair = np.zeros((3, 3))
+    for i, ws in cut.items():
+        if i != 90:
+            for x, y in zip(path(ws), path(ws)[1:]):
+                pair[x, y] += 1
+    share = (pair.sum(0) + 1) / (pair.sum() + 3)
+    step = np.log10((pair + 100 * share) / (pair.sum(1, keepdims=True) + 100))
+    room = [1 + sum(k + 1 for w, k in c.items() if of[w] == x) for x in (0, 1)]
+    for r in lm_score.score(d, model, known, n, v).collect():
+        p = path(cut[r["doc_id"]])
+        want = sum(step[x, y] for x, y in zip(p, p[1:])) + sum(math.log10((c[w] + 1) / room[of.get(w, guess)]) for w in cut[r["doc_id"]])
+        assert math.isclose(r["score"], want, rel_tol=1e-9)
+
+
+def test_gains_are_those_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    m, of = rng.poisson(2.0, (9, 9)).astype(float), np.array([0, 1, 2, 0, 1, 3, 4, 4, 4])  # 3 classes, the end, the others
+    pair = lambda of: np.eye(5)[of].T @ m @ np.eye(5)[of]
+    f = lm_score.xlogx
+    value = lambda q: f(q).sum() - f(q.sum(1)).sum() - f(q.sum(0)).sum()
+    # each word has as many bigrams before as after, as all tokens do
+    for w in (6, 7, 8):
+        hot, moved = np.eye(5)[of], [np.where(np.arange(9) == w, b, of) for b in range(3)]
+        out, into = np.delete(m[w], w) @ np.delete(hot, w, 0), np.delete(m[:, w], w) @ np.delete(hot, w, 0)
+        counts = np.concatenate([out, into, [m[w, w]]]).astype(np.int64)[None]
+        assert lm_score.Gains(pair(of)).best(counts)[0] == np.argmax([value(pair(x)) for x in moved])
