@@ -9,7 +9,7 @@ Learning: one pass of expectation-maximisation. Expected counts of pieces come f
 equal piece probabilities, each text counting for its language; they are smoothed towards equal. Texts are learned from a bounded
 sample: at most `per_language` documents of each language, by the smallest hash of id and text, whole.
 
-Words are runs of letters, A-Z lower-cased, cut at `longest` bytes. Their log probabilities add up over the text.
+Words are whole runs of letters, A-Z lower-cased; a long run is summed window by window. Their log probabilities add up over the text.
 
 Cases: a null text or one without a letter is `und` with score 0. With no training rows all texts are `und`. Ties go
 to the language that sorts first. Repeated rows are scored each; extra columns are left behind.
@@ -98,33 +98,69 @@ def by_length(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def word_logs(pieces: Pieces, p: np.ndarray, words: list[bytes]) -> np.ndarray:
-    """log P(word) for each language, words x languages. p: pieces x languages, its row 0 is 0."""
+def windows(n: int, window: int) -> list[tuple[int, int]]:
+    """Consecutive spans of at most `window` that cover n bytes."""
+    return [(a, min(n, a + window)) for a in range(0, n, window)]
+
+
+def word_logs(pieces: Pieces, p: np.ndarray, words: list[bytes], window: int = 40) -> np.ndarray:
+    """log P(word) for each language, words x languages. p: pieces x languages, its row 0 is 0.
+
+    The sums that lead to the last `longest` places go from window to window, divided by their greatest.
+    """
     out = np.zeros((len(words), p.shape[1]))
     for at, chars in by_length(words):
-        n = chars.shape[1]
-        alpha = [np.ones((len(at), p.shape[1]))] + [np.zeros((len(at), p.shape[1])) for _ in range(n)]
-        for (a, b), ids in pieces.lattice(chars).items():  # starts ascend, so alpha[a] is complete
-            alpha[b] += alpha[a] * p[ids]
-        out[at] = np.log(np.maximum(alpha[n], 1e-300))
+        n, keep = chars.shape[1], pieces.longest
+        for rows in np.array_split(np.arange(len(at)), max(1, len(at) * min(n, window) // 2_000_000)):
+            shape = (len(rows), p.shape[1])
+            log, carried = np.zeros(shape), [np.ones(shape)]
+            for a0, b0 in windows(n, window):
+                # places a0 - len(carried) + 1 to b0; pieces that end in the window
+                low = a0 - len(carried) + 1
+                alpha = carried + [np.zeros(shape) for _ in range(b0 - a0)]
+                for (a, b), ids in pieces.lattice(chars[rows, low:b0]).items():  # starts ascend, so alpha[a] is complete
+                    if b + low > a0:
+                        alpha[b] += alpha[a] * p[ids]
+                carried = alpha[-keep:]
+                top = np.maximum(np.max(carried, axis=0), 1e-300)
+                log += np.log(top)
+                carried = [x / top for x in carried]
+            out[at[rows]] = log + np.log(np.maximum(carried[-1], 1e-300))
     return out
 
 
 def expected_counts(pieces: Pieces, words: list[bytes], weights: np.ndarray, p: float) -> np.ndarray:
-    """Expected uses of each piece over weighted words when every piece has probability p."""
+    """Expected uses of each piece over weighted words when every piece has probability p.
+
+    Forward and backward sums are divided at each place by the greatest of a stretch, so that no length underflows.
+    """
     total = np.zeros(len(pieces.pieces))
     for at, chars in by_length(words):
-        n, k = chars.shape[1], len(at)
-        lattice = pieces.lattice(chars)
-        forward, backward = np.zeros((n + 1, k)), np.zeros((n + 1, k))
-        forward[0], backward[n] = 1, 1
-        for (a, b), ids in lattice.items():
-            forward[b] += forward[a] * p * (ids > 0)
-        for (a, b), ids in reversed(lattice.items()):
-            backward[a] += backward[b] * p * (ids > 0)
-        scale = weights[at] / forward[n]
-        for (a, b), ids in lattice.items():
-            total += np.bincount(ids, forward[a] * backward[b] * p * scale * (ids > 0), len(total))
+        n = chars.shape[1]
+        for rows in np.array_split(np.arange(len(at)), max(1, len(at) * n // 2_000_000)):
+            k, lattice = len(rows), pieces.lattice(chars[rows])
+            # forward[b] is true forward / exp(up[b]), backward[a] is true backward / exp(down[a])
+            forward, backward = np.zeros((n + 1, k)), np.zeros((n + 1, k))
+            up, down = np.zeros((n + 1, k)), np.zeros((n + 1, k))
+            forward[0], backward[n] = 1, 1
+            ends: dict[int, list[int]] = {}
+            starts: dict[int, list[int]] = {}
+            for a, b in lattice:
+                ends.setdefault(b, []).append(a)
+                starts.setdefault(a, []).append(b)
+            for b in range(1, n + 1):
+                for a in ends[b]:
+                    forward[b] += forward[a] * np.exp(up[a] - up[b - 1]) * p * (lattice[a, b] > 0)
+                up[b] = up[b - 1] + np.log(forward[b])
+                forward[b] = 1
+            for a in range(n - 1, -1, -1):
+                for b in starts[a]:
+                    backward[a] += backward[b] * np.exp(down[b] - down[a + 1]) * p * (lattice[a, b] > 0)
+                down[a] = down[a + 1] + np.log(backward[a])
+                backward[a] = 1
+            for (a, b), ids in lattice.items():
+                share = np.exp(up[a] + down[b] - up[n]) * p * weights[at[rows]] * (ids > 0)
+                total += np.bincount(ids, share, len(total))
     return total
 
 
@@ -132,11 +168,11 @@ def words_of(text: str | None) -> list[str]:
     return _words(text_bytes(text).translate(LOWER_BYTES).decode("utf-8", "surrogatepass"))
 
 
-def cut(words: list[str], longest: int) -> list[bytes]:
-    return [w.encode("utf-8", "surrogatepass")[:longest] for w in words]
+def encoded(words: list[str]) -> list[bytes]:
+    return [w.encode("utf-8", "surrogatepass") for w in words]
 
 
-def learn(docs: DataFrame, pieces: Pieces, per_language: int = 2000, longest: int = 40, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, pieces: Pieces, per_language: int = 2000, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """docs(doc_id, text, lang): the languages and their piece probabilities, pieces x languages."""
     some = docs.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("_h", F.xxhash64("doc_id", "text")).select("text", "lang", "_h")
     counts = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -155,7 +191,7 @@ def learn(docs: DataFrame, pieces: Pieces, per_language: int = 2000, longest: in
             for lang, text in zip(b["lang"], b["text"]):
                 held.setdefault(lang, Counter()).update(words_of(text))
         for lang, words in held.items():
-            total = expected_counts(own, cut(list(words), longest), np.array(list(words.values()), float), 1e-3)
+            total = expected_counts(own, encoded(list(words)), np.array(list(words.values()), float), 1e-3)
             at = np.flatnonzero(total)
             # whole millionths, so that sums don't depend on their order
             yield {"lang": [lang] * len(at), "piece": at.tolist(), "k": np.rint(total[at] * 1e6).astype(np.int64).tolist()}
@@ -169,7 +205,7 @@ def learn(docs: DataFrame, pieces: Pieces, per_language: int = 2000, longest: in
     return langs, p
 
 
-def predict(docs: DataFrame, pieces: Pieces, langs: list[str], p: np.ndarray, longest: int = 40) -> DataFrame:
+def predict(docs: DataFrame, pieces: Pieces, langs: list[str], p: np.ndarray) -> DataFrame:
     """docs(doc_id, held_out, text) as doc_id, held_out, lang_pred, score: the posterior under equal priors."""
     sent = Shared(docs.sparkSession, (pieces, langs, p))
 
@@ -183,7 +219,7 @@ def predict(docs: DataFrame, pieces: Pieces, langs: list[str], p: np.ndarray, lo
                 index, logs = {}, logs[:0]
             new = list({w for ws in split for w in ws}.difference(index))
             if new and names:
-                logs = np.concatenate([logs, word_logs(own, probability, cut(new, longest))])
+                logs = np.concatenate([logs, word_logs(own, probability, encoded(new))])
                 index.update(zip(new, range(len(index), len(index) + len(new))))
             pred, score = [], []
             for ws in split:

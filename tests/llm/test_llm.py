@@ -433,3 +433,42 @@ def test_gains_are_those_of_the_likelihood():
         out, into = np.delete(m[w], w) @ np.delete(hot, w, 0), np.delete(m[:, w], w) @ np.delete(hot, w, 0)
         counts = np.concatenate([out, into, [m[w, w]]]).astype(np.int64)[None]
         assert lm_score.Gains(pair(of)).best(counts)[0] == np.argmax([value(pair(x)) for x in moved])
+
+
+def test_lang_id_whole_runs():
+    """A run longer than a window, and one whose probability underflows, are scored and learned to the last byte."""
+    pieces = lang_id.Pieces([b"th", b"the", b"he", b"ing", b"thething"])
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet(np.ones(len(pieces.pieces)), 2).T
+    p[0] = 0
+    index = {x: i for i, x in enumerate(pieces.pieces)}
+
+    def sums(w, q):
+        fw = [np.ones(q.shape[1])]
+        for b in range(1, len(w) + 1):
+            fw.append(sum(fw[a] * q[index[w[a:b]]] for a in range(max(0, b - 8), b) if w[a:b] in index))
+        return fw[-1]
+
+    for w in (b"thethinghe" * 6, b"x" * 39 + b"the" + b"ing" * 13, b"thething" * 5, b"t"):
+        assert np.allclose(lang_id.word_logs(pieces, p, [w])[0], np.log(sums(w, p)))
+    long = b"thethinghe" * 400
+    one, two = lang_id.word_logs(pieces, p, [long])[0], lang_id.word_logs(pieces, p, [long * 2])[0]
+    assert np.isfinite(one).all() and (one < -3000).all() and np.allclose(two / one, 2, atol=0.01)
+    # expected uses by brute force; each byte of a run belongs to one piece
+    w, q = b"thehe", 1e-3
+    ways = [[]]
+    got = []
+    while ways:
+        way = ways.pop()
+        done = sum(map(len, way))
+        if done == len(w):
+            got.append(way)
+        ways += [way + [w[done:b]] for b in range(done + 1, len(w) + 1) if w[done:b] in index]
+    total = sum(q ** len(x) for x in got)
+    want = np.zeros(len(pieces.pieces))
+    for x in got:
+        for y in x:
+            want[index[y]] += 3 * q ** len(x) / total
+    assert np.allclose(lang_id.expected_counts(pieces, [w], np.array([3.0]), q), want)
+    uses = lang_id.expected_counts(pieces, [long], np.array([1.0]), q)
+    assert np.isclose(uses @ [len(x) for x in pieces.pieces], len(long))
