@@ -6,7 +6,8 @@
    the largest minimum, further values change nothing, so the work is about n + m log m, not n * m. A register is the
    minimum on a logarithmic scale of base 1.001, so registers of two sets agree about as often as the sets are similar;
    maxima of registers are the sketch of the union. Values depend only on the element's hash.
-2. Classes. Texts with equal sets (128-bit hash of the sorted elements) form a class; its smallest doc_id stands for it.
+2. Classes. Texts with equal sets (128-bit hash of the sorted elements) form a class, which has a number of its own. A
+   component is named by the smallest doc_id of all its classes.
 3. Candidates. `bands` bands of `rows` registers are bucket keys. Each member of a bucket is paired with the bucket's
    smallest member, not with all others: pairs are linear in the input however large a bucket is.
 4. Estimate. Both sketches and the set sizes give the maximum-likelihood similarity; pairs far below the threshold go.
@@ -132,7 +133,7 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarr
 
 
 def sketches(docs: DataFrame, bands: int = 25, rows: int = 5) -> DataFrame:
-    """docs(doc_id long, text) as doc_id, n, set hash (ha, hb), keys of the bands, registers."""
+    """docs(doc_id long, text, th) as doc_id, th, n, set hash (ha, hb), keys of the bands, registers."""
 
     def run(batches):
         hashes = WordHashes()
@@ -143,25 +144,25 @@ def sketches(docs: DataFrame, bands: int = 25, rows: int = 5) -> DataFrame:
             h = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             signed = lambda x: (x & (2**64 - 1)) - ((x & 2**63) << 1)
             yield {
-                "doc_id": b["doc_id"], "n": [len(s) for s in sets], "ha": [signed(x) for x in h], "hb": [signed(x >> 64) for x in h],
+                "doc_id": b["doc_id"], "th": b["th"], "n": [len(s) for s in sets], "ha": [signed(x) for x in h], "hb": [signed(x >> 64) for x in h],
                 "keys": [k.tolist() if len(s) else [] for k, s in zip(keys, sets)], "registers": [r.tobytes() for r in registers],
             }
 
-    return map_batches(docs, run, "doc_id long, n long, ha long, hb long, keys array<long>, registers binary")
+    return map_batches(docs, run, "doc_id long, th long, n long, ha long, hb long, keys array<long>, registers binary")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, elements) of the classes' representatives in ids(id, ha, hb)."""
+    """(id, elements) of the classes in ids(id, doc_id, th, ha); doc_id and th, the text's hash, find a row of each."""
 
     def run(batches):
         hashes = WordHashes()
         for b in batches:
             sets = [shingles(t, hashes).tobytes() for t in b["text"]]
             h = [xxhash.xxh3_128_intdigest(s) for s in sets]
-            ok = [(x & (2**64 - 1)) - ((x & 2**63) << 1) == ha for x, ha in zip(h, b["ha"])]  # a doc_id may stand on several rows
-            yield {"id": [i for i, y in zip(b["doc_id"], ok) if y], "elements": [s for s, y in zip(sets, ok) if y]}
+            ok = [(x & (2**64 - 1)) - ((x & 2**63) << 1) == ha for x, ha in zip(h, b["ha"])]  # two texts may share doc_id and th
+            yield {"id": [i for i, y in zip(b["id"], ok) if y], "elements": [s for s, y in zip(sets, ok) if y]}
 
-    at = docs.join(ids.select(F.col("id").alias("doc_id"), "ha"), "doc_id").select("doc_id", "text", "ha")
+    at = docs.join(ids.select("id", "doc_id", "th", "ha"), ["doc_id", "th"]).select("id", "text", "ha")
     return map_batches(at, run, "id long, elements binary").dropDuplicates(["id"])
 
 
@@ -190,7 +191,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, percent: int,
     side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     pairs = written(map_batches(sized.select("a", "b", "na", "nb", "ra", "rb"), estimate, "a long, b long"), "near-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", "ha"), "id")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", "doc_id", "th", "ha"), "id")
     sets = written(_full_sets(docs, ids), "near-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
     return written(map_batches(both.select("a", "b", "ea", "eb"), verify, "a long, b long"), "near-links")
@@ -208,7 +209,7 @@ def _rest(docs: DataFrame, entries: DataFrame, reps: DataFrame, found: DataFrame
     sums = placed.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum("n").alias("elements"), F.min("component").alias("x"), F.max("component").alias("y"))
     k = F.ceil(F.greatest(F.col("size") / block, F.col("elements") / (4 << 20))).cast("int").alias("k")
     members = written(placed.join(sums.where("x <> y").select("band", "key", k), ["band", "key"]), "near-open")
-    sets = _full_sets(docs, members.select("id").distinct().join(reps.select("id", "ha"), "id")).join(reps.select("id", "registers"), "id")
+    sets = _full_sets(docs, members.select("id").distinct().join(reps.select("id", "doc_id", "th", "ha"), "id")).join(reps.select("id", "registers"), "id")
     own = members.withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = own.join(written(sets, "near-sets"), "id").select("band", "key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "id", "component", "n", "registers", "elements")
 
@@ -248,7 +249,9 @@ def _labelled(table: DataFrame, classes: DataFrame, found: DataFrame, hot_share:
     """(doc_id, n, component_id) of all rows of table. Components are joined to classes, one row each, before rows meet
     classes. Classes of more than hot_share of the rows (100 at least) are at most 1 / hot_share, so they are broadcast."""
     on = ["ha", "hb"]
-    named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*on, "size", F.coalesce("component", "id").alias("component_id"))
+    named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*on, "size", "least", F.coalesce("component", "id").alias("component"))
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(names, "component").select(*on, "size", "component_id")
     named = written(named, "near-named")
     most = max(100, (classes.agg(F.sum("size")).first()[0] or 0) * hot_share)
     hot, cold = named.where(F.col("size") > most), named.where(F.col("size") <= most)
@@ -267,13 +270,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
     spark = docs.sparkSession
     small_batches(spark)
     cut = percent / 100 - margin
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     table = written(sketches(docs, bands, rows), "near-sketch")
     some = table.where("n > 0")
-    classes = written(some.groupBy("ha", "hb").agg(F.min("doc_id").alias("id"), F.count("*").alias("size")), "near-classes")
-    # one row a class: a doc_id that stands on several rows may stand for several classes, of which one is taken
-    firsts = classes.select("ha", "hb", F.col("id").alias("doc_id"))
-    reps = written(some.join(firsts, ["ha", "hb", "doc_id"]).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id"), "near-reps")
+    # a class has a number, as several classes may have one smallest doc_id
+    sums = some.groupBy("ha", "hb").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("size"))
+    classes = written(sums.select("ha", "hb", "first.doc_id", "first.th", "size", F.monotonically_increasing_id().alias("id")).withColumn("least", F.col("doc_id")), "near-classes")
+    firsts = classes.select("ha", "hb", "doc_id", "th", "id")
+    reps = written(some.join(firsts, ["ha", "hb", "doc_id", "th"]).dropDuplicates(["id"]), "near-reps")
     keyed = reps.select("id", F.posexplode("keys").alias("band", "key"))
     pivots = keyed.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("band", "key", "pivot")
     entries = written(keyed.join(pivots, ["band", "key"]), "near-entries")

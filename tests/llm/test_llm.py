@@ -472,3 +472,15 @@ def test_lang_id_whole_runs():
     assert np.allclose(lang_id.expected_counts(pieces, [w], np.array([3.0]), q), want)
     uses = lang_id.expected_counts(pieces, [long], np.array([1.0]), q)
     assert np.isclose(uses @ [len(x) for x in pieces.pieces], len(long))
+
+
+def test_near_dedup_shared_ids(spark):
+    """Texts without an id, or with one id for several texts, each take part with their own sets."""
+    rng = random.Random(21)
+    new = lambda: [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    x, y, z, u = new(), new(), new(), new()
+    near = lambda w: " ".join(w + ["tail"])
+    rows = [(None, " ".join(x)), (5, near(x)), (None, " ".join(y)), (7, near(y)), (None, " ".join(z)), (3, " ".join(z)), (3, " ".join(u)), (9, near(u)), (None, " ".join(new()))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    found = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got)
+    assert found == Counter([(None, 5, False), (5, 5, True), (None, 7, False), (7, 7, True), (None, 3, False), (3, 3, True), (3, 3, True), (9, 3, False), (None, None, True)])
