@@ -5,8 +5,9 @@ of near copies (similarity 0.8 or more) the smallest doc_id stays. 4. decontamin
 passage go. 5. BPE: what is left is encoded, with the token ids.
 
 All columns of documents stay until the last stage; n_chars is set anew where texts change. Null texts count as empty.
-Rows are told apart by doc_id; one without it by its text, and it counts as larger than all others in near-dedup.
-Rows that share a doc_id go together in the stages that filter.
+In line dedup, near-dedup and decontamination each row has a number of its own, by ascending doc_id (null last), so rows
+without a doc_id or with a shared one are told apart, and of copies the first row stays. The toxicity stage has labels by
+doc_id: there rows are told apart by doc_id, one without it by its text, and rows that share a doc_id go together.
 """
 
 from __future__ import annotations
@@ -34,6 +35,16 @@ def _filtered(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(ids, _id(docs) == ids["_id"], how)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of each row, ascending by doc_id (null last): a written table, so numbers are stable."""
+    order = [F.col("doc_id").cast("long").asc_nulls_last(), F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(*docs.columns)]
+    return written(docs.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = toxicity.scored(_keyed(docs), labels)
@@ -41,19 +52,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs)
+    rows = _numbered(docs)
+    out = line_dedup.dedup_lines(rows.withColumnRenamed("doc_id", "_own").withColumnRenamed("_row", "doc_id"))
+    out = out.drop("doc_id").withColumnRenamed("_own", "doc_id")
     changed = out.withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")))
     return changed.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(_keyed(docs), percent=80)
-    return _filtered(docs, found.where("kept"), "left_semi")
+    rows = _numbered(docs)
+    found = near_dedup.near_duplicates(_by_row(rows), percent=80).where("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(found, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _filtered(docs, found.where("n_hit > 0"), "left_anti")
+    rows = _numbered(docs)
+    found = decontaminate.contamination(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.where("n_hit > 0").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -484,3 +484,25 @@ def test_near_dedup_shared_ids(spark):
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
     found = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got)
     assert found == Counter([(None, 5, False), (5, 5, True), (None, 7, False), (7, 7, True), (None, 3, False), (3, 3, True), (3, 3, True), (9, 3, False), (None, None, True)])
+
+
+def test_pipeline_rows_without_own_ids(spark, tmp_path):
+    """Copies go also where rows have no doc_id or share one; a clean row stays beside a contaminated one of its doc_id."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    new = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    item, line, x, y, z, u = " ".join(f"b{k}" for k in range(14)), "a line that rows share", new(), new(), new(), new()
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def run(name, rows):
+        docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").repartition(2)
+        got = stages[name](spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        return Counter((r["doc_id"], r["text"]) for r in got.collect())
+
+    got = run("line dedup", [(None, f"{x}\n{line}"), (None, f"{y}\n{line}"), (2, z), (2, z)])
+    assert sum(line in (t or "") for _, t in got.elements()) == 1 and got[2, z] == 1
+    assert run("near-dedup", [(None, x), (None, x), (None, x + " tail"), (7, y), (7, y), (7, z), (4, u), (None, u)]).total() == 4
+    assert run("decontamination", [(5, x), (5, f"start {item} end"), (None, y)]) == Counter([(5, x), (None, y)])
