@@ -35,12 +35,12 @@ _words = regex.compile(r"\p{L}+").findall
 
 
 class Pieces:
-    """A hash table of a vocabulary's pieces of at most `longest_piece` bytes; piece 0 stands for none."""
+    """A hash table of a vocabulary's pieces; piece 0 stands for none."""
 
-    def __init__(self, vocabulary: list[bytes], longest_piece: int = 8):
-        self.longest = longest_piece
+    def __init__(self, vocabulary: list[bytes]):
+        self.longest = max(map(len, [b"-", *vocabulary]))
         single = [bytes([b]) for b in range(256)]
-        self.pieces = [b"", *sorted({*single, *(p for p in vocabulary if 1 <= len(p) <= longest_piece)})]
+        self.pieces = [b"", *sorted({*single, *(p for p in vocabulary if p)})]
         keys = np.array([self._hash(p) for p in self.pieces], np.uint64)
         assert len(np.unique(keys)) == len(keys)
         size = 1 << BITS

@@ -506,3 +506,13 @@ def test_pipeline_rows_without_own_ids(spark, tmp_path):
     assert sum(line in (t or "") for _, t in got.elements()) == 1 and got[2, z] == 1
     assert run("near-dedup", [(None, x), (None, x), (None, x + " tail"), (7, y), (7, y), (7, z), (4, u), (None, u)]).total() == 4
     assert run("decontamination", [(5, x), (5, f"start {item} end"), (None, y)]) == Counter([(5, x), (None, y)])
+
+
+def test_lang_id_long_pieces():
+    pieces = lang_id.Pieces([b"th", b"abcdefghijklmnop"])
+    p = np.full((len(pieces.pieces), 1), 1e-3)
+    p[0] = 0
+    assert pieces.longest == 16
+    assert np.isclose(lang_id.word_logs(pieces, p, [b"abcdefghijklmnop"])[0, 0], math.log(1e-3))
+    # the piece crosses from one window to the next
+    assert np.isclose(lang_id.word_logs(pieces, p, [b"x" * 30 + b"abcdefghijklmnop"])[0, 0], 31 * math.log(1e-3))
