@@ -1,4 +1,5 @@
-"""Nested JSON documents: profiles, configuration, macro files, legacy template items; reading with defaults, writing."""
+"""Nested JSON documents: profiles, configuration, macro files; reading with defaults, writing. Legacy template items and the
+fallback to a legacy macro file (survey 2.2, 2.3) have no readers here."""
 
 from __future__ import annotations
 
@@ -20,7 +21,7 @@ def read_config(spark: SparkSession, path: str, defaults: dict | None = None) ->
 
 
 def read_macros(spark: SparkSession, path: str) -> DataFrame:
-    """A macro file: its top level must be a list of macros."""
+    """A macro file: a list of macros. A top-level object is read as one macro too; it isn't rejected."""
     return spark.read.schema(MACRO).option("multiLine", True).json(path)
 
 
