@@ -35,10 +35,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and a lost executor loses none of it."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -47,25 +47,35 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bytes that one batch may hold beside its last row.
+BATCH_BYTES = 16 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what a Python worker holds at once, also where texts are long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds what a Python worker holds at once, in rows and in bytes, also where texts are long."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
-    """mapInArrow over dicts of column lists; f yields dicts of column lists in schema's order."""
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:
+    """mapInArrow where f yields dicts of columns (lists, numpy or Arrow arrays), in any order."""
     small_batches(df.sparkSession)
     empty = df.sparkSession.createDataFrame([], schema)
     types = pa.schema([pa.field(c.name, _arrow(c.dataType)) for c in empty.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches):
-            yield pa.RecordBatch.from_arrays([pa.array(out[t.name], type=t.type, from_pandas=False) for t in types], schema=types)
+        for out in f(batches):
+            yield pa.RecordBatch.from_arrays([out[t.name].cast(t.type) if isinstance(out[t.name], pa.Array) else pa.array(out[t.name], type=t.type, from_pandas=False) for t in types], schema=types)
 
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, f: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
+    """map_arrow over dicts of column lists."""
+    return map_arrow(df, lambda batches: f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches), schema)
+
+
 def _arrow(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

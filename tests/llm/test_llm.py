@@ -240,20 +240,45 @@ def test_components(spark):
     assert got == {i: 0 for i in range(1, 31)} | {101: 100}
 
 
-def test_lm_score(spark, docs, none):
+def held_against(rows, out, result, classes, strength=100.0):
+    got = defaultdict(list)
+    for r in result:
+        got[r["doc_id"]].append(r)
+    cut = [(i, SPACED.findall((t or "").translate(LOWER))) for i, t in rows]
+    c = Counter(x for i, w in cut if not out(i) for x in [*w, " "])
+    n, v, of = sum(c.values()), len(c), {}
+    paths = []
+    for i, w in cut:
+        at = next(k for k, r in enumerate(got[i]) if r["n_tokens"] == len(w) + 1)
+        r = got[i].pop(at)
+        assert len(r["classes"]) == len(w) and all(of.setdefault(x, k) == k < classes for x, k in zip(w, r["classes"]))
+        paths.append((i, w, r, [classes, *r["classes"], classes]))
+    assert not any(got.values())
+    pair = np.zeros((classes + 1, classes + 1))
+    for i, _, _, p in paths:
+        if not out(i):
+            np.add.at(pair, (p[:-1], p[1:]), 1)
+    share = (pair.sum(0) + 1) / (pair.sum() + classes + 1)
+    step = np.log10((pair + strength * share) / (pair.sum(1, keepdims=True) + strength))
+    room = [1 + sum(k + 1 for w, k in c.items() if of.get(w) == x) for x in range(classes)]
+    for i, w, r, p in paths:
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w) + 1, sum(c[x] > 0 for x in [*w, " "]), n, out(i))
+        assert math.isclose(r["base_score"], sum(math.log10((c[x] + 1) / (n + v + 1)) for x in [*w, " "]), rel_tol=1e-9)
+        assert math.isclose(r["score"], step[p[:-1], p[1:]].sum() + sum(math.log10((c[x] + 1) / room[of[x]]) for x in w), rel_tol=1e-9)
+        assert math.isclose(r["perplexity"], 10 ** (-r["score"] / (len(w) + 1)), rel_tol=1e-9)
+    return of, c
+
+
+@pytest.mark.parametrize("head", [20, 1, 10_000])
+def test_lm_score(spark, docs, none, head):
     d = docs.select("doc_id", "text").withColumn("held_out", lm_score.held_out(F.col("doc_id")))
-    got = lm_score.score(d, *lm_score.train(d.where("NOT held_out").select("text"), head=20, clustered=8, classes=3)).collect()
-    cut = {i: SPACED.findall((t or "").translate(LOWER)) + [" "] for i, t, *_ in texts()}
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    c = Counter(w for i, *_ in texts() if not out(i) for w in cut[i])
-    n, v = sum(c.values()), len(c)
-    assert len(got) == len(texts())
-    for r in got:
-        w = cut[r["doc_id"]]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(c[x] > 0 for x in w), n, out(r["doc_id"]))
-        assert math.isclose(r["base_score"], sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-        assert r["score"] < 0 and math.isfinite(r["score"])
-    assert lm_score.score(none.select("doc_id", "text", F.lit(True).alias("held_out")), *lm_score.train(none.select("text"))).count() == 0
+    got = lm_score.score(d, head=head, clustered=8, classes=3, most=50).collect()
+    held_against([(i, t) for i, t, *_ in texts()], out, got, 3)
+    assert lm_score.score(none.select("doc_id", "text", F.lit(True).alias("held_out"))).count() == 0
+    # nothing to learn from: all words are unknown
+    alone = lm_score.score(d.withColumn("held_out", F.lit(True)), head=head, classes=3).collect()
+    held_against([(i, t) for i, t, *_ in texts()], lambda i: True, alone, 3)
 
 
 def test_exchange_clusters():
@@ -379,46 +404,58 @@ def test_pipeline_cases(spark, tmp_path):
 
 
 def test_most_frequent_keeps_counts_whole(spark):
-    rows = [(bytearray(w.encode()), c) for w, c in [("a", 9), ("b", 5), ("d", 5), ("c", 2), ("big", 100_000), ("bigger", 200_000)]]
-    counts = spark.createDataFrame(rows, "word binary, c long")
-    took = lambda n: [w.decode() for w, _ in lm_score.most_frequent(counts, n)]
-    assert took(0) == []
-    assert took(2) == ["bigger", "big"]
-    assert took(4) == ["bigger", "big", "a"]
-    assert took(5) == ["bigger", "big", "a", "b", "d"]
-    assert took(100) == ["bigger", "big", "a", "b", "d", "c"]
+    counts = spark.createDataFrame([(-k, c, c + 1) for k, c in ((1, 9), (2, 5000), (3, 9), (4, 5000), (5, 1), (6, 70000))], "h long, c long, t long")
+    took = lambda n: [-h for h, _ in lm_score.most_frequent(counts, n)]
+    assert took(9) == [6, 4, 2, 3, 1, 5] and took(5) == [6, 4, 2, 3, 1] and took(4) == took(3) == [6, 4, 2] and took(2) == [6] and took(0) == []
     assert lm_score.most_frequent(counts.where("c < 0"), 5) == []
 
 
-def test_lm_score_classes_of_all_words(spark):
+def objective(classes, pair):
+    """The likelihood's part that classes change: sum of n log n over class pairs, less that over both margins."""
+    hot = np.eye(max(classes) + 1)[classes]
+    x = hot.T @ pair @ hot
+    f = lm_score.xlogx
+    return f(x).sum() - f(x.sum(1)).sum() - f(x.sum(0)).sum()
+
+
+def test_exchange_against_a_recomputed_objective():
+    """Each move of one word, recomputed from nothing, is no better than what exchange() ended with; it never falls."""
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        pair = rng.integers(0, 9, (12, 12)).astype(float) * (rng.random((12, 12)) < 0.6)
+        start = np.concatenate([np.arange(10) % 3, [3, 4]])
+        got = lm_score.exchange(pair, 3, 50, fixed=2)
+        best = objective(got, pair)
+        assert best >= objective(start, pair) - 1e-9 and got[-2:].tolist() == [3, 4]
+        for w in range(10):
+            for k in range(3):
+                other = got.copy()
+                other[w] = k
+                assert objective(other, pair) <= best + 1e-6
+
+
+@pytest.mark.parametrize("head", [40, 9, 500])
+def test_lm_score_classes_of_all_words(spark, head):
     """Words beyond the exchange's block, in the head and beyond it, get classes by their bigrams; scores follow from these."""
     rng = random.Random(8)
     kinds = [[f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]]
     weights = [1 / (k + 1) for k in range(60)]
     rows = [(i, " ".join(rng.choices(kinds[j % 2], weights)[0] for j in range(60))) for i in range(90)] + [(90, "a0 new b0 new new"), (91, None), (92, "a59 a59 a59 b59")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.col("doc_id") == 90).repartition(3)
-    model, known, n, v = lm_score.train(d.where("NOT held_out").select("text"), head=40, clustered=8, classes=2, most=50)
-    beyond = {bytes(r["word"]).decode(): (r["class"], r["c"]) for r in known.collect()}
-    of = {w.decode(): int(model.classes[i]) for w, i in model.ids.items()} | {w: x for w, (x, _) in beyond.items()}
-    cut = {i: (t or "").split() for i, t in rows}
-    c = Counter(w for i, ws in cut.items() if i != 90 for w in ws)
-    assert set(of) == set(c) and len(model.ids) <= 40 < len(of) and all(c[w] == k for w, (_, k) in beyond.items())
+    of, c = held_against(rows, lambda i: i == 90, lm_score.score(d, head=head, clustered=8, classes=2, most=50).collect(), 2)
     # a59 also follows itself
-    assert {(w[0], x) for w, x in of.items() if w != "a59"} in ({("a", 0), ("b", 1)}, {("a", 1), ("b", 0)})
-    guess = int(model.classes[lm_score.ending(b"new")])
-    path = lambda ws: [2, *(of.get(w, guess) for w in ws), 2]
-    pair = np.zeros((3, 3))
-    for i, ws in cut.items():
-        if i != 90:
-            for x, y in zip(path(ws), path(ws)[1:]):
-                pair[x, y] += 1
-    share = (pair.sum(0) + 1) / (pair.sum() + 3)
-    step = np.log10((pair + 100 * share) / (pair.sum(1, keepdims=True) + 100))
-    room = [1 + sum(k + 1 for w, k in c.items() if of[w] == x) for x in (0, 1)]
-    for r in lm_score.score(d, model, known, n, v).collect():
-        p = path(cut[r["doc_id"]])
-        want = sum(step[x, y] for x, y in zip(p, p[1:])) + sum(math.log10((c[w] + 1) / room[of.get(w, guess)]) for w in cut[r["doc_id"]])
-        assert math.isclose(r["score"], want, rel_tol=1e-9)
+    assert {(w[0], x) for w, x in of.items() if w not in ("a59", "new")} in ({("a", 0), ("b", 1)}, {("a", 1), ("b", 0)})
+    assert set(of) == set(c) - {" "} | {"new"}
+
+
+def test_rare_words_meet_in_parts(spark):
+    """Words that reach over parts of place_rare() keep all their places."""
+    rows = [(i, "x y z " * (i % 3) + f"w{i % 4}") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.col("doc_id") % 5 == 0)
+    table = lm_score.coded(d, [])
+    pair = lm_score.bigrams(table.where("NOT held_out"), np.array([3]), 4, 2)
+    whole, parts = (Counter(map(tuple, lm_score.place_rare(table, np.array([3]), pair, k).drop("first").collect())) for k in (10**6, 3))
+    assert whole == parts and sum(whole.values()) == sum(len(t.split()) for _, t in rows)
 
 
 def test_gains_are_those_of_the_likelihood():
