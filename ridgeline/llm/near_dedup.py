@@ -13,9 +13,10 @@
 4. Estimate. Both sketches and the set sizes give the maximum-likelihood similarity; pairs far below the threshold go.
 5. Verify. The full sets decide. Links give components.
 6. The rest. Members of one bucket that ended in different components are compared with each other in blocks: each
-   pair of blocks is a group of its own, where pairs of different components pass sizes, estimate and full sets, and
-   only links come out. So no link between texts that share a bucket is lost, and there is no cap. This is square only
-   in what a bucket holds of texts that are no near copies of its smallest member's component.
+   pair of blocks is a group of its own, where pairs of different components pass sizes and estimate on registers
+   alone. Members that have a partner left get their full sets, and only links come out. So no link between texts that
+   share a bucket and pass the estimate is lost, and there is no cap. This is square only in what a bucket holds of
+   texts that are no near copies of its smallest member's component.
 
 Two sets share none of 25 bands of 5 registers with probability 4e-7 at similarity 0.85 and 5e-5 at 0.8.
 
@@ -200,28 +201,26 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, percent: int,
 def _rest(docs: DataFrame, entries: DataFrame, reps: DataFrame, found: DataFrame, percent: int, cut: float, block: int, bands: int, rows: int) -> DataFrame:
     """Links between different components that share a bucket of entries(band, key, id), found in pairs of blocks.
 
-    A block has at most about `block` members and 32 MB of elements. Counts of common elements are taken there, so only
-    links come out, not pairs.
+    A block has at most about `block` members and 32 MB of elements. Pairs of blocks get registers first; full sets
+    follow only for members with a partner that the estimate leaves. Counts of common elements are taken there, so only
+    members and links come out, not pairs.
     """
     import pandas as pd
 
     placed = entries.join(found.withColumnRenamed("node", "id"), "id", "left").join(reps.select("id", "n"), "id").select("band", "key", "id", "n", F.coalesce("component", "id").alias("component"))
     sums = placed.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum("n").alias("elements"), F.min("component").alias("x"), F.max("component").alias("y"))
     k = F.ceil(F.greatest(F.col("size") / block, F.col("elements") / (4 << 20))).cast("int").alias("k")
-    members = written(placed.join(sums.where("x <> y").select("band", "key", k), ["band", "key"]), "near-open")
-    sets = _full_sets(docs, members.select("id").distinct().join(reps.select("id", "doc_id", "th", "ha"), "id")).join(reps.select("id", "registers"), "id")
+    members = placed.join(sums.where("x <> y").select("band", "key", k), ["band", "key"])
     own = members.withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = own.join(written(sets, "near-sets"), "id").select("band", "key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "id", "component", "n", "registers", "elements")
+    group = ["band", "key", "lo", "hi"]
+    dealt = own.select("band", "key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "id", "component", "n").join(reps.select("id", "registers"), "id")
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+    def partners(pdf: pd.DataFrame):
+        """(x, y): rows of the left block, each with those of the right block that the estimate leaves."""
         r = np.frombuffer(b"".join(pdf.registers), "<u2").reshape(-1, M)
         ids, comp, n, i = (pdf[c].to_numpy() for c in ("id", "component", "n", "i"))
         band, lo, hi = (int(pdf[c].iloc[0]) for c in ("band", "lo", "hi"))
         left, right = np.flatnonzero(i == lo), np.flatnonzero(i == hi)
-        known, flat = np.unique(np.frombuffer(b"".join(pdf.elements), np.uint64), return_inverse=True)
-        ends = np.cumsum(n)
-        mark = np.zeros(len(known), bool)
-        out = []
         for x in left:
             y = right[(comp[right] != comp[x]) & ((lo != hi) | (ids[right] > ids[x]))]
             y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
@@ -233,16 +232,34 @@ def _rest(docs: DataFrame, entries: DataFrame, reps: DataFrame, found: DataFrame
                 y = y[same[:, : bands * rows].reshape(-1, bands, rows).all(2).argmax(1) == band]
                 y = y[likely_at_least(r[x], r[y], np.full(len(y), float(n[x])), n[y].astype(float), cut)]
             if len(y):
-                own = flat[ends[x] - n[x] : ends[x]]
-                mark[own] = True
-                common = np.array([int(mark[flat[ends[t] - n[t] : ends[t]]].sum()) for t in y])
-                mark[own] = False
-                y = y[100 * common >= percent * (n[x] + n[y] - common)]
-                out += [(min(ids[x], ids[t]), max(ids[x], ids[t])) for t in y]
+                yield x, y
+
+    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+        mark = np.zeros(len(pdf), bool)
+        for x, y in partners(pdf):
+            mark[x] = mark[y] = True
+        return pdf.loc[mark, [*group, "i", "id", "component", "n"]]
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, n = pdf["id"].to_numpy(), pdf["n"].to_numpy()
+        known, flat = np.unique(np.frombuffer(b"".join(pdf.elements), np.uint64), return_inverse=True)
+        ends = np.cumsum(n)
+        mark = np.zeros(len(known), bool)
+        out = []
+        for x, y in partners(pdf):
+            own = flat[ends[x] - n[x] : ends[x]]
+            mark[own] = True
+            common = np.array([int(mark[flat[ends[t] - n[t] : ends[t]]].sum()) for t in y])
+            mark[own] = False
+            y = y[100 * common >= percent * (n[x] + n[y] - common)]
+            out += [(min(ids[x], ids[t]), max(ids[x], ids[t])) for t in y]
         got = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
 
-    return written(dealt.groupBy("band", "key", "lo", "hi").applyInPandas(link, "a long, b long"), "near-more")
+    some = written(dealt.groupBy(*group).applyInPandas(candidates, "band int, key long, lo int, hi int, i int, id long, component long, n long"), "near-open")
+    ids = some.select("id").distinct().join(reps.select("id", "doc_id", "th", "ha", "registers"), "id")
+    sets = written(_full_sets(docs, ids.drop("registers")), "near-sets").join(ids.select("id", "registers"), "id")
+    return written(some.join(sets, "id").groupBy(*group).applyInPandas(link, "a long, b long"), "near-more")
 
 
 def _labelled(table: DataFrame, classes: DataFrame, found: DataFrame, hot_share: float) -> DataFrame:
@@ -262,7 +279,7 @@ def _labelled(table: DataFrame, classes: DataFrame, found: DataFrame, hot_share:
     return met.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: int = 5, margin: float = 0.15, block: int = 2048, hot_share: float = 1e-4) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: int = 5, margin: float = 0.15, block: int = 1024, hot_share: float = 1e-4) -> DataFrame:
     """docs(doc_id, text) as doc_id, n_shingles, component_id, kept; links need 100 * common >= percent * all.
 
     margin: how far the estimate may lie below the threshold, about 5 deviations of 128 registers.
@@ -297,5 +314,19 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
-#: All-pairs set similarity is too slow in SQL on whole tables; the tests hold op9 against brute force.
-ORACLE_SQL = None
+#: All pairs that share a shingle, then the transitive closure of the links: fit for tables of some thousand documents.
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach(doc_id, m) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT l.b, r.m FROM reach r JOIN links l ON l.a = r.doc_id),
+least AS (SELECT doc_id, min(m) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN n USING (doc_id)
+"""
