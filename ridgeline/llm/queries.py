@@ -16,4 +16,9 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_lm_score": lm_score.op10_lm_score,
 }
-ORACLES = {"op2_chat": chat.ORACLE_SQL, "op3_line_dedup": line_dedup.ORACLE_SQL}
+ORACLES = {
+    "op2_chat": chat.ORACLE_SQL,
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op4_decontamination": decontaminate.ORACLE_SQL,
+    "op9_near_dedup": near_dedup.ORACLE_SQL,
+}

@@ -103,35 +103,48 @@ def test_sharding(spark, docs, none):
 def hits(text, items):
     w = WORDS.findall((text or "").translate(LOWER))
     hit, found = set(), set()
-    for i, t in items:
+    for number, (_, t) in enumerate(items):
         x = WORDS.findall((t or "").translate(LOWER))
         for k in range(max(1, len(x) - 9) if x else 0):
             win = x[k : k + 10]
             for a in range(len(w) - len(win) + 1):
                 if w[a : a + len(win)] == win:
                     hit.update(range(a, a + len(win)))
-                    found.add(str(i))
-    return len(w), len(hit), len(found), sorted(found)
+                    found.add(number)
+    return len(w), len(hit), len(found), sorted(str(items[k][0]) for k in found if items[k][0] is not None)
 
 
 def test_decontamination(spark, docs, none):
+    """In one segment and in several, with items in one block and in several, of shared ids and without one."""
     base = texts()[4][1].split()
-    items = [(10, " ".join(base[5:30])), (9, "Two!"), (8, None), (7, ""), (6, "one-two"), (5, " ".join(base[5:30]))]
+    items = [(10, " ".join(base[5:30])), (9, "Two!"), (8, None), (7, ""), (6, "one-two"), (5, " ".join(base[5:30])), (None, " ".join(base[40:60])), (9, "x X x"), (None, "short")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    for block in (500_000, 20):
-        got = decontaminate.contamination(docs, table, block_words=block).collect()
-        want = Counter((i, *map(str, hits(t, items))) for i, t, *_ in texts())
+    want = Counter((i, *map(str, hits(t, items))) for i, t, *_ in texts())
+    for block, segment in ((500_000, 1_000_000), (20, 1_000_000), (500_000, 1), (30, 150)):
+        got = decontaminate.contamination(docs.coalesce(1), table, block_words=block, segment_tokens=segment).collect()
         assert Counter((r["doc_id"], str(r["n_words"]), str(r["n_hit"]), str(r["n_items"]), str(r["item_ids"])) for r in got) == want
+    assert len({r["segment"] for r in decontaminate.build_index(docs.coalesce(1), 150).collect()}) > 3
     assert decontaminate.contamination(none, table).count() == 0
     assert {r["n_hit"] for r in decontaminate.contamination(docs, table.limit(0)).collect()} == {0}
+    with pytest.raises(ValueError):
+        decontaminate.search(decontaminate.build_index(docs), table, slop=decontaminate.GAP)
+
+
+@pytest.mark.parametrize("operator", [decontaminate, near_dedup])
+def test_against_sql(spark, operator):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    got = (decontaminate.op4_decontamination if operator is decontaminate else near_dedup.op9_near_dedup)(spark, SF)
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(operator.ORACLE_SQL).select(*got.columns).fetchall())
 
 
 def test_proximity():
     t = [w.encode() for w in "a b x c a q c b".split()]
     places = {w: np.array([i for i, v in enumerate(t) if v == w]) for w in set(t)}
-    assert [list(map(int, x)) for x in decontaminate.near(places, [b"a", b"c"], 1)] == [[4], [7]]
-    assert [list(map(int, x)) for x in decontaminate.near(places, [b"a", b"c"], 2)] == [[0, 4], [4, 7]]
-    assert decontaminate.phrase(places, [b"b", b"x", b"c"], {}).tolist() == [1]
+    assert [list(map(int, x)) for x in decontaminate.near([places[b"a"], places[b"c"]], 1)] == [[4], [7]]
+    assert [list(map(int, x)) for x in decontaminate.near([places[b"a"], places[b"c"]], 2)] == [[0, 4], [4, 7]]
+    assert decontaminate.phrase([places[b"b"], places[b"x"], places[b"c"]], [1, 2, 0]).tolist() == [1]
     packed = decontaminate.pack(np.array([3, 500, 70_000, 1, 2]), np.array([0, 3, 5]))
     assert [decontaminate.unpack(x).tolist() for x in packed] == [[3, 500, 70_000], [1, 2]]
 
@@ -373,7 +386,8 @@ def test_pipeline(spark):
             assert len(after) < len(before) and all(after[i] == before[i] for i in after)
         if name == "decontamination":
             items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
-            windows = {tuple(x) for _, t in items for x in decontaminate.windows_of(decontaminate.words(t), 10)}
+            cut = lambda w: [w[i : i + 10] for i in range(max(1, len(w) - 9) if w else 0)]
+            windows = {tuple(x) for _, t in items for x in cut(decontaminate.words(t))}
             sizes = {len(x) for x in windows}
             clean = lambda w: not any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
             assert {i for i in before if clean(decontaminate.words(before[i]))} == set(after)
