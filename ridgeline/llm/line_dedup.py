@@ -3,11 +3,15 @@
 A line's key is the line without [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased. Of a key of at least `min_chars`
 code points that several documents hold, only the lines in the smallest doc_id holding it stay.
 
-Documents come in batches of ascending doc_id, so a key that a run holds was seen in a smaller document. A run is
-a bucketed table of (h1, h2, first): 128 bits of key hash and the smallest doc_id, sorted within each bucket. A
-batch's distinct keys are hashed into the same buckets, so the merge join reads the runs as they lie, with no
-exchange. Keys that no run holds form the batch's own run on level 0; `fanout` runs of a level are merged into one
-run of the next. Hot keys meet only in minima and counts, which combine before the exchange.
+Each text is read and hashed once, into a table that is partitioned by batch. Documents come in batches of ascending
+doc_id, so a key that a run holds was seen in a smaller document. A run is a bucketed table of (h1, h2, first): 128 bits
+of key hash and the smallest doc_id, sorted within each bucket. A batch's distinct keys are hashed into the same
+buckets, so the merge join reads the runs as they lie, with no exchange. Keys that no run holds form the batch's own run
+on level 0; `fanout` runs of a level are merged into one run of the next. Hot keys meet only in minima and counts,
+which combine before the exchange.
+
+Runs may be kept in a folder: a later call on further documents goes on from there, and lines whose keys an earlier call
+held in another document go.
 
 Cases: a null or empty text is one empty line and stays. Rows with one doc_id are one holder: none takes lines from
 the other, and each row is returned. A null doc_id counts as larger than any other. Keys too short stay always.
@@ -22,7 +26,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lower_ascii, new_path, remove
+from .common import documents, exists, lower_ascii, new_path, remove, written
 
 SPACE = " \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1
@@ -48,18 +52,37 @@ def _hashes(text: Column, min_chars: int) -> Column:
 
 
 class Runs:
-    """The levelled runs. add() takes distinct keys that no run holds; where() joins keys to all runs."""
+    """The levelled runs. add() takes distinct keys that no run holds; seen() joins keys to all runs.
+
+    Without a folder they go with drop(). With one, save() names the runs in a manifest there, one more file each time,
+    and the next Runs on that folder begins with those of the last manifest; runs that no manifest names are ignored.
+    """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int | None = None):
-        self.spark, self.fanout = spark, fanout
+    COLUMNS = "h1 BIGINT, h2 BIGINT, first BIGINT"
+
+    def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int | None = None, path: str | None = None):
+        self.spark, self.fanout, self.path = spark, fanout, path
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, str]]] = [[]]
+        self.saves, self.old = 0, []
+        if path and exists(spark, f"{path}/manifest"):
+            rows = spark.read.schema("save int, level int, at string, buckets int").json(f"{path}/manifest").collect()  # a row for each run
+            self.saves = max((r["save"] for r in rows), default=0)
+            for r in sorted((r for r in rows if r["save"] == self.saves and r["at"]), key=lambda r: r["level"]):
+                self.levels += [[] for _ in range(r["level"] + 1 - len(self.levels))]
+                self.levels[r["level"]].append((self._table(r["at"], r["buckets"]), r["at"]))
+                self.buckets = r["buckets"]
+
+    def _table(self, at: str, buckets: int) -> str:
+        table = f"line_run_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {table} ({self.COLUMNS}) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {buckets} BUCKETS LOCATION '{at}'")
+        return table
 
     def _write(self, df: DataFrame) -> tuple[str, str]:
-        table, path = f"line_run_{uuid.uuid4().hex}", new_path(self.spark, "line-run")
-        spread = df.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2")
-        spread.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).format("parquet").saveAsTable(table)
-        return table, path
+        at = f"{self.path}/run-{uuid.uuid4().hex}" if self.path else new_path(self.spark, "line-run")
+        table = self._table(at, self.buckets)
+        df.select("h1", "h2", "first").repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2").write.insertInto(table)
+        return table, at
 
     def add(self, keys: DataFrame) -> None:
         self.levels[0].append(self._write(keys))
@@ -71,7 +94,8 @@ class Runs:
                 merged = self._write(self._union(level))
                 for table, path in level:
                     self.spark.sql(f"DROP TABLE {table}")
-                    remove(self.spark, path)
+                    # runs that a manifest names stay until the next one is there
+                    self.old.append(path) if self.path else remove(self.spark, path)
                 self.levels[k] = []
                 if k + 1 == len(self.levels):
                     self.levels.append([])
@@ -92,10 +116,22 @@ class Runs:
                 out = out.join(run.hint("merge"), ["h1", "h2"], "left").withColumn("old", F.coalesce("old", "run_first")).drop("run_first")
         return out
 
+    def save(self) -> None:
+        if self.path:
+            rows = [(self.saves + 1, k, at, self.buckets) for k, level in enumerate(self.levels) for _, at in level]
+            rows = rows or [(self.saves + 1, None, None, None)]
+            self.spark.createDataFrame(rows, "save int, level int, at string, buckets int").coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+            self.saves += 1
+            for path in self.old:
+                remove(self.spark, path)
+            self.old = []
+
     def drop(self) -> None:
+        """Forgets the tables; without a folder their files go too."""
         for table, path in (r for level in self.levels for r in level):
-            self.spark.sql(f"DROP TABLE {table}")
-            remove(self.spark, path)
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            if not self.path:
+                remove(self.spark, path)
         self.levels = [[]]
 
 
@@ -106,8 +142,8 @@ def _bounds(ids: DataFrame, batches: int) -> list[int]:
     return sorted(set(got or []))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2, hot_share: float = 1e-4) -> DataFrame:
-    """docs(doc_id, text, ...) with the columns kept_text, n_lines, n_dropped.
+def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2, hot_share: float = 1e-4, path: str | None = None) -> DataFrame:
+    """docs(doc_id, text, ...) with the columns kept_text, n_lines, n_dropped. path: a folder to go on from, and to keep the runs in.
 
     A batch grows with the input, so the runs are read `batches` times in all and work is linear in the input.
     A key of more than `hot_share` of a batch's lines (100 at least) is hot: there are at most 1/hot_share of these, so they are broadcast; all other keys meet their documents in a shuffled join.
@@ -115,35 +151,34 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     spark = docs.sparkSession
     docs = docs.drop(*RESULTS)
     pairs = docs.select(_row_id().alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    runs, drops = Runs(spark, fanout), []
-    bounds = [None, *_bounds(pairs, batches), None]
-    for low, high in zip(bounds, bounds[1:]):
-        part = pairs
-        part = part if low is None else part.where(F.col("id") > low)
-        part = part if high is None else part.where(F.col("id") <= high)
-        runs.compact()
-        held = part.select("id", "th", F.posexplode(_hashes(F.col("text"), min_chars)).alias("pos", "h")).where("h IS NOT NULL").select("id", "th", "pos", "h.h1", "h.h2")
-        keys = held.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
-        tagged_at = new_path(spark, "line-keys")
-        runs.seen(keys).write.parquet(tagged_at)
-        tagged = spark.read.parquet(tagged_at)
-        runs.add(tagged.where("old IS NULL").select("h1", "h2", "first"))
-        shared = tagged.where("old IS NOT NULL OR last > first").select("h1", "h2", F.coalesce("old", "first").alias("first"), "n")
-        most = max(100, (tagged.agg(F.sum("n")).first()[0] or 0) * hot_share)
-        hot = shared.where(F.col("n") > most).select("h1", "h2", F.col("first").alias("hot_first"))
-        cold = shared.where(F.col("n") <= most).select("h1", "h2", "first")
-        met = held.join(F.broadcast(hot), ["h1", "h2"], "left")
-        drops.append(met.where("hot_first < id").select("id", "th", "pos"))
-        drops.append(met.where("hot_first IS NULL").join(cold, ["h1", "h2"]).where("first < id").select("id", "th", "pos"))
-    gone = drops[0]
-    for d in drops[1:]:
-        gone = gone.union(d)
-    # one sorted list a document, bounded by its lines
-    gone = gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-    at = new_path(spark, "line-drops")
-    gone.write.parquet(at)
-    gone = spark.read.schema(gone.schema).parquet(at)
-    runs.drop()
+    bounds = _bounds(pairs.select("id"), batches)
+    batch = sum((F.when(F.col("id") > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    lines_at, drops_at = new_path(spark, "line-hashes"), new_path(spark, "line-drops")
+    hashed = pairs.select("id", "th", batch.alias("batch"), F.posexplode(_hashes(F.col("text"), min_chars)).alias("pos", "h"))
+    hashed.where("h IS NOT NULL").select("id", "th", "pos", "h.h1", "h.h2", "batch").write.partitionBy("batch").parquet(lines_at)
+    lines = spark.read.schema("id long, th long, pos int, h1 long, h2 long, batch int").parquet(lines_at)
+    runs = Runs(spark, fanout, path=path)
+    try:
+        for k in range(len(bounds) + 1):
+            runs.compact()
+            held = lines.where(F.col("batch") == k).drop("batch")
+            keys = held.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
+            tagged = written(runs.seen(keys), "line-keys")
+            runs.add(tagged.where("old IS NULL"))
+            shared = tagged.where("old IS NOT NULL OR last > first").select("h1", "h2", F.coalesce("old", "first").alias("first"), "n")
+            most = max(100, (tagged.agg(F.sum("n")).first()[0] or 0) * hot_share)
+            hot = shared.where(F.col("n") > most).select("h1", "h2", F.col("first").alias("hot_first"))
+            cold = shared.where(F.col("n") <= most).select("h1", "h2", "first")
+            met = held.join(F.broadcast(hot), ["h1", "h2"], "left")
+            gone = met.where("hot_first <> id").select("id", "th", "pos")
+            gone = gone.union(met.where("hot_first IS NULL").join(cold, ["h1", "h2"]).where("first <> id").select("id", "th", "pos"))
+            # one sorted list a document, bounded by its lines; a document is in one batch
+            gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone")).write.mode("append").parquet(drops_at)
+        runs.save()
+    finally:
+        runs.drop()
+    remove(spark, lines_at)
+    gone = spark.read.schema("id long, th long, gone array<int>").parquet(drops_at)
     # columns are named through their tables, as docs may have columns of the same names
     own = [docs[f"`{c}`"] for c in docs.columns]
     text, places = F.coalesce(docs["text"], F.lit("")), gone["gone"]

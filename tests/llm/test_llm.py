@@ -64,6 +64,23 @@ def test_line_dedup_sql(spark):
     assert sorted(map(tuple, line_dedup.op3_line_dedup(spark, SF).collect())) == sorted(want)
 
 
+def test_line_dedup_goes_on(spark, tmp_path):
+    """Runs kept in a folder: two calls drop what one call on all documents drops; a batch that fails leaves no tables."""
+    at, rng = f"file://{tmp_path}/runs", random.Random(4)
+    rows = [(i, "\n".join(f"line number {rng.randrange(60)}" for _ in range(5))) for i in range(90)]
+    make = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    tables = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")}
+    left = tables()
+    want = {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(make(rows)).collect()}
+    got = {}
+    for part in (rows[:40], [], rows[40:70], rows[70:]):
+        got |= {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(make(part), batches=2, path=at).collect()}
+    assert got == want and tables() == left
+    with pytest.raises(Exception):
+        line_dedup.dedup_lines(make(rows).withColumn("text", F.raise_error(F.lit("lost"))))
+    assert tables() == left
+
+
 def test_clashing_names(spark, docs):
     """Extra columns with the names of working or result columns change no result and stay as they are."""
     names = ["id", "th", "pos", "h", "h1", "h2", "first", "last", "n", "old", "gone", "c0", "_b", "_r", "_q", "_k", "_c", "_ends", "_at", "_base", "y", "half", "held_out", "row", "ha", "word", "a.b"]
