@@ -3,18 +3,22 @@
 A record's layout is the set of its nested field paths, as `a`, `a.b` or `a[].b`. The fingerprint is the SHA-256 of
 the sorted paths. The registry maps fingerprints to Mappings, which say where turns, roles and texts lie; a new layout
 is a new registry entry, not new code. Typed tables have one fingerprint, taken from the schema; JSON records are
-fingerprinted one by one, and those of an unknown layout are returned with their fingerprint, never dropped.
+fingerprinted one by one, and those of an unknown layout are returned with their fingerprint, never dropped. So are those
+with something else than a text, a number, a truth value, null or a list of text parts where a text should be, or
+something else than an object or null where a turn should be: nothing is guessed.
 
 The template marks a turn as `### role: text</turn>\\n`. Within roles and texts a backslash goes before each backslash,
 `#` and `<` (in roles also before `:` and line ends), so no control string can occur in a text, and reading back is
-exact. The loss mask covers the texts of assistant turns.
+exact. The loss mask is the span of the escaped text of each assistant turn, in code points of the formatted text.
 
-A turn is formatted where it is read. Conversations are put together by a sort on (conversation, turn) and one pass
-over the sorted rows, turn by turn: the conversation itself is never held, however long it is.
+Conversations are put together by a sort on (conversation, turn) and one pass over the sorted rows, turn by turn; turns
+are formatted after the sort. The conversation itself is never held, however long it is. Digests are read back from the
+formatted text: turns by its marks, the loss by slicing it under the mask.
 
 Cases: null texts and roles are empty. Turns are ordered by turn, role, text (nulls first), so ties and repeated turns
-have one order. A null conv_id is a conversation of its own. An empty table gives an empty result. Extra columns,
-whatever their names, are not part of the mapping: the fingerprint is of the columns that a mapping knows.
+have one order. A null conv_id is a conversation of its own. A record of unknown layout is a conversation without turns.
+An empty table gives an empty result. Extra columns, whatever their names, are not part of the mapping: the fingerprint
+is of the columns that a mapping knows.
 """
 
 from __future__ import annotations
@@ -37,10 +41,12 @@ TURNS = "conv_id long, turn long, role string, text string"
 @dataclass(frozen=True)
 class Mapping:
     """turns: the path of the list of turns, with role and text inside it; or none, and each of `fixed` is a turn: role
-    and the paths whose texts, where not empty, are joined by a blank line. roles: names to canonical ones."""
+    and the paths whose texts, where not empty, are joined by a blank line. rows: each row is a turn, with its place in
+    the column of that name. roles: names to canonical ones."""
 
     paths: tuple[str, ...]
     turns: str = ""
+    rows: str = ""
     role: str = "role"
     text: str = "content"
     fixed: tuple[tuple[str, tuple[str, ...]], ...] = ()
@@ -77,8 +83,10 @@ def schema_paths(kind: T.DataType, at: str = "") -> Iterator[str]:
 # Names of roles in public chat layouts, and the layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 LAYOUTS = (
-    Mapping(("conv_id", "turn", "role", "text"), turns="", role="role", text="text"),
+    Mapping(("conv_id", "turn", "role", "text"), rows="turn", role="role", text="text"),
     Mapping(("messages[].role", "messages[].content"), turns="messages", roles=ROLES),
+    Mapping(("messages[].role", "messages[].content[].type", "messages[].content[].text"), turns="messages", roles=ROLES),
+    Mapping(("messages[].role", "messages[].content", "messages[].content[].type", "messages[].content[].text"), turns="messages", roles=ROLES),
     Mapping(("conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value", roles=ROLES),
     Mapping(("prompt", "response"), fixed=(("user", ("prompt",)), ("assistant", ("response",)))),
     Mapping(("prompt", "completion"), fixed=(("user", ("prompt",)), ("assistant", ("completion",)))),
@@ -88,7 +96,6 @@ LAYOUTS = (
     Mapping(("system", "messages[].role", "messages[].content"), turns="messages", fixed=(("system", ("system",)),), roles=ROLES),
 )
 REGISTRY = {fingerprint(m.paths): m for m in LAYOUTS}
-ROWS = fingerprint(LAYOUTS[0].paths)
 
 
 def select_mapping(paths, registry: dict[str, Mapping] = REGISTRY) -> tuple[str, Mapping | None]:
@@ -101,16 +108,36 @@ def select_mapping(paths, registry: dict[str, Mapping] = REGISTRY) -> tuple[str,
     return (known, registry[known]) if known in registry else (exact, None)
 
 
-def turns_of(record: dict, m: Mapping) -> list[tuple[str, str]]:
-    out = []
+def text_of(value) -> str | None:
+    """The text of a JSON value: of a list, its text parts one after another. None where it holds anything else."""
+    if value is None or isinstance(value, str):
+        return value or ""
+    if isinstance(value, (bool, int, float)):
+        return json.dumps(value)
+    if isinstance(value, list):
+        parts = [x if isinstance(x, str) else x["text"] if isinstance(x, dict) and x.get("type", "text") == "text" and isinstance(x.get("text"), str) else None for x in value]
+        return None if None in parts else "".join(parts)
+    return None
+
+
+def turns_of(record: dict, m: Mapping) -> list[tuple[str, str]] | None:
+    """(role, text) of each turn, or None where a value is none that the mapping can take."""
+    out: list[tuple[str | None, str | None]] = []
     for role, names in m.fixed:
-        parts = [str(record[n]) for n in names if record.get(n)]
-        if parts or role != "system":
-            out.append((role, "\n\n".join(parts)))
-    for t in record.get(m.turns) or [] if m.turns else []:
-        role = str(t.get(m.role) or "")
-        out.append((m.roles.get(role, role), str(t.get(m.text) or "")))
-    return out
+        parts = [text_of(record.get(n)) for n in names]
+        if None in parts:
+            return None
+        if any(parts) or role != "system":
+            out.append((role, "\n\n".join(x for x in parts if x)))
+    listed = record.get(m.turns) if m.turns else None
+    if not isinstance(listed, (list, type(None))):
+        return None
+    for t in listed or []:
+        if not isinstance(t, (dict, type(None))):
+            return None
+        role, text = text_of((t or {}).get(m.role)), text_of((t or {}).get(m.text))
+        out.append((m.roles.get(role, role), text))
+    return None if any(None in x for x in out) else out
 
 
 def json_turns(records: DataFrame, registry: dict[str, Mapping] = REGISTRY) -> DataFrame:
@@ -125,10 +152,11 @@ def json_turns(records: DataFrame, registry: dict[str, Mapping] = REGISTRY) -> D
                 except ValueError:
                     record = None
                 print_, m = select_mapping(json_paths(record), registry) if isinstance(record, dict) else (None, None)
-                if m is None or (not m.turns and not m.fixed):
+                turns = turns_of(record, m) if m and not m.rows else None
+                if turns is None:
                     rows.append((i, None, None, None, print_))
                 else:
-                    rows += [(i, k, r, t, print_) for k, (r, t) in enumerate(turns_of(record, m))]
+                    rows += [(i, k, r, t, print_) for k, (r, t) in enumerate(turns)]
             names = ("conv_id", "turn", "role", "text", "fingerprint")
             yield {n: [r[k] for r in rows] for k, n in enumerate(names)}
 
@@ -143,19 +171,21 @@ def canonical_turns(df: DataFrame, registry: dict[str, Mapping] = REGISTRY) -> D
         print_, m = select_mapping(set(schema_paths(df.schema)) - {"conv_id"}, registry)
     if m is None:
         raise ValueError(f"no mapping for the fingerprint {print_} of {sorted(schema_paths(df.schema))}")
-    if print_ == ROWS:
-        return df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    names = F.create_map(*[F.lit(x) for kv in m.roles.items() for x in kv]) if m.roles else None
     filled = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    canonical = lambda c: F.coalesce(F.try_element_at(names, filled(c)), filled(c)) if names is not None else filled(c)
+    if m.rows:
+        return df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col(m.rows).cast("long").alias("turn"), canonical(F.col(m.role)).alias("role"), filled(F.col(m.text)).alias("text"))
     fixed = []
-    for role, names in m.fixed:
-        text = F.array_join(F.filter(F.array(*[filled(F.col(n)) for n in names]), lambda x: x != ""), "\n\n")
+    for role, paths in m.fixed:
+        text = F.array_join(F.filter(F.array(*[filled(F.col(n)) for n in paths]), lambda x: x != ""), "\n\n")
         turn = F.struct(F.lit(role).alias("role"), text.alias("text"))
         fixed.append(F.array(turn) if role != "system" else F.when(text != "", F.array(turn)).otherwise(F.slice(F.array(turn), 1, 0)))
     turns = F.concat(*fixed) if fixed else None
     if m.turns:
-        names = F.create_map(*[F.lit(x) for kv in m.roles.items() for x in kv]) if m.roles else None
-        role = lambda t: F.coalesce(F.try_element_at(names, filled(t[m.role])), filled(t[m.role])) if names is not None else filled(t[m.role])
-        listed = F.transform(F.coalesce(F.col(m.turns), F.array()), lambda t: F.struct(role(t).alias("role"), filled(t[m.text]).alias("text")))
+        parts = any(p.startswith(f"{m.turns}[].{m.text}[]") for p in m.paths)
+        text = lambda t: F.array_join(F.transform(F.coalesce(t[m.text], F.array()), lambda x: filled(x["text"])), "") if parts else filled(t[m.text])
+        listed = F.transform(F.coalesce(F.col(m.turns), F.array()), lambda t: F.struct(canonical(t[m.role]).alias("role"), text(t).alias("text")))
         turns = F.concat(turns, listed) if turns is not None else listed
     return df.select(F.col("conv_id").cast("long").alias("conv_id"), F.posexplode(turns).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
@@ -168,14 +198,24 @@ def escape(c, role: bool = False):
 
 
 def formatted(turns: DataFrame) -> DataFrame:
-    """turns with the column segment: the turn in the template's marks."""
-    return turns.withColumn("segment", F.concat(F.lit("### "), escape(F.col("role"), True), F.lit(": "), escape(F.col("text")), F.lit("</turn>\n")))
+    """turns with the columns segment, the turn in the template's marks, and mask_start and mask_end, the span of the
+    segment that the loss covers, null where there is none. A row without turn, role and text has an empty segment."""
+    role, text = escape(F.coalesce("role", F.lit("")), True), escape(F.coalesce("text", F.lit("")))
+    head = F.concat(F.lit("### "), role, F.lit(": "))
+    turn = F.when(F.coalesce(F.col("turn").cast("string"), "role", "text").isNotNull(), F.concat(head, text, F.lit("</turn>\n")))
+    learned = F.col("role") == "assistant"
+    spans = {"mask_start": F.when(learned, F.length(head)), "mask_end": F.when(learned, F.length(head) + F.length(text))}
+    return turns.withColumns({"segment": F.coalesce(turn, F.lit("")), **spans})
 
 
-_segment = re.compile(r"### ((?:[^\\:]+|\\.)*): ((?:[^\\<]+|\\.)*)</turn>\n", re.S)
+_segment = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.)*+)</turn>\n", re.S)
 _escaped = re.compile(r"\\(.)", re.S)
 
 
+def plain(escaped: str) -> str:
+    return _escaped.sub(r"\1", escaped) if "\\" in escaped else escaped
+
+
 def read_back(formatted_text: str) -> list[tuple[str, str, int, int]]:
     """role, text, and the span of the escaped text, for each turn of formatted text; raises on anything else."""
     out, at = [], 0
@@ -183,16 +223,15 @@ def read_back(formatted_text: str) -> list[tuple[str, str, int, int]]:
         m = _segment.match(formatted_text, at)
         if not m:
             raise ValueError(f"no turn at {at}")
-        plain = [_escaped.sub(r"\1", m[k]) if "\\" in m[k] else m[k] for k in (1, 2)]
-        out.append((plain[0], plain[1], m.start(2), m.end(2)))
+        out.append((plain(m[1]), plain(m[2]), m.start(2), m.end(2)))
         at = m.end()
     return out
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """A row for each conversation, from its formatted turns read back."""
+    """A row for each conversation, from its formatted turns and their mask, read back."""
     key = F.coalesce(F.col("conv_id").cast("string"), F.lit("-"))
-    dealt = formatted(turns).select("conv_id", "turn", "role", "text", "segment").repartition(key).sortWithinPartitions(key, "turn", "role", "text").select("conv_id", "segment")
+    dealt = turns.select("conv_id", "turn", "role", "text").repartition(key).sortWithinPartitions(key, "turn", "role", "text")
 
     def run(batches):
         now, state = object(), None
@@ -203,7 +242,7 @@ def digests(turns: DataFrame) -> DataFrame:
 
         for b in batches:
             rows = []
-            for conv, segment in zip(b["conv_id"], b["segment"]):
+            for conv, segment, start, end in zip(b["conv_id"], b["segment"], b["mask_start"], b["mask_end"]):
                 if state is None or conv != now:
                     if state is not None:
                         rows.append(row())
@@ -211,15 +250,16 @@ def digests(turns: DataFrame) -> DataFrame:
                 for role, text, _, _ in read_back(segment):
                     state[1] += 1
                     state[2].update(f"{role}\n{text}\n".encode())
-                    if role == "assistant":
-                        state[3] += len(text)
-                        state[4].update(text.encode())
+                if start is not None:
+                    learned = plain(segment[start:end])
+                    state[3] += len(learned)
+                    state[4].update(learned.encode())
                 state[5] += len(segment)
             yield _columns(rows)
         if state is not None:
             yield _columns([row()])
 
-    return map_batches(dealt, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_batches(formatted(dealt).select("conv_id", "segment", "mask_start", "mask_end"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _columns(rows: list[tuple]) -> dict:
@@ -230,21 +270,24 @@ def _columns(rows: list[tuple]) -> dict:
 def conversations(turns: DataFrame) -> DataFrame:
     """conv_id, the formatted conversation and its loss mask as spans [start, end) of code points. Where a conversation
     may be too long for one value, take formatted() or digests()."""
-    one = formatted(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "segment"))).alias("t"))
-
-    def run(batches):
-        for b in batches:
-            texts = ["".join(t["segment"] for t in ts) for ts in b["t"]]
-            yield {"conv_id": b["conv_id"], "formatted": texts, "loss": [[{"start": a, "end": e} for role, _, a, e in read_back(x) if role == "assistant"] for x in texts]}
-
-    return map_batches(one, run, "conv_id long, formatted string, loss array<struct<start:long,end:long>>")
+    one = formatted(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "segment", "mask_start", "mask_end"))).alias("t"))
+    before = F.aggregate(
+        "t",
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss")),
+        lambda s, t: F.struct(
+            (s["at"] + F.length(t["segment"])).alias("at"),
+            F.when(t["mask_start"].isNull(), s["loss"]).otherwise(F.concat(s["loss"], F.array(F.struct((s["at"] + t["mask_start"]).alias("start"), (s["at"] + t["mask_end"]).alias("end"))))).alias("loss"),
+        ),
+    )
+    return one.select("conv_id", F.array_join(F.transform("t", lambda t: t["segment"]), "").alias("formatted"), before["loss"].alias("loss"))
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's rows, and one conversation that comes as a JSON record in the layout of messages."""
     probe = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], TURNS)
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return digests(canonical_turns(rows).unionByName(canonical_turns(extra)))
+    record = json.dumps({"messages": [{"role": r, "content": probe} for r in ("user", "assistant")]})
+    extra = json_turns(spark.createDataFrame([(-7, record)], "conv_id long, json string")).drop("fingerprint")
+    return digests(canonical_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")).unionByName(extra))
 
 
 #: The length of the formatted text counts the template's marks and escapes: 12 characters and the role for each turn.

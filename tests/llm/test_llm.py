@@ -387,6 +387,50 @@ def test_chat_layouts(spark):
     assert chat.digests(turns.limit(0)).count() == 0
 
 
+def test_chat_odd_records(spark):
+    """Values that a mapping can't take leave the record as one of unknown layout; parts of texts are joined."""
+    said = {"role": "user", "content": "a"}
+    parts = [{"type": "text", "text": "b"}, {"type": "text", "text": "c"}]
+    records = {
+        0: {"messages": [said, None]}, 1: {"messages": [said, "text"]}, 2: {"messages": [said, {"role": "bot", "content": parts}], "more": {"messages": 1}},
+        3: {"messages": [{"role": "gpt", "content": parts}]}, 4: {"messages": [said, {"role": "user", "content": [{"type": "image", "url": "u"}]}]}, 5: {"messages": None}, 6: {"messages": "x", "system": "s"},
+        7: {"messages": [said, {"role": "user", "content": {"deep": 1}}]}, 8: {"prompt": 5, "response": True}, 9: {"prompt": None, "response": None},
+    }
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in records.items()], "conv_id long, json string")
+    got = defaultdict(list)
+    turns = chat.json_turns(df)
+    for r in turns.orderBy("conv_id", "turn").collect():
+        got[r["conv_id"]].append((r["role"], r["text"]))
+    none = [(None, None)]
+    assert got == {0: [("user", "a"), ("", "")], 1: none, 2: [("user", "a"), ("assistant", "bc")], 3: [("assistant", "bc")], 4: none, 5: none, 6: none, 7: none, 8: [("user", "5"), ("assistant", "true")], 9: [("user", ""), ("assistant", "")]}
+    out = {r["conv_id"]: r for r in chat.digests(turns).collect()}
+    assert {i: r["n_turns"] for i, r in out.items()} == {i: 0 if t == none else len(t) for i, t in got.items()} and out[2]["loss_chars"] == 2
+    typed = spark.createDataFrame([(1, [("bot", [("text", "b"), ("text", "c")]), ("user", None)])], "conv_id long, messages array<struct<role:string,content:array<struct<type:string,text:string>>>>")
+    assert [(r["role"], r["text"]) for r in chat.canonical_turns(typed).orderBy("turn").collect()] == [("assistant", "bc"), ("user", "")]
+
+
+def test_chat_mask_and_long_conversations(spark):
+    """The mask slices exactly the assistants' texts; null ids are one conversation; malformed text fails at once."""
+    rng = random.Random(6)
+    text = lambda: None if rng.random() < 0.1 else "".join(rng.choice("a\\#<:\n </turn>é😀") for _ in range(rng.randrange(30)))
+    rows = [(rng.choice([1, 2, None]), rng.choice([None, *range(900)]), rng.choice(["user", "assistant", None, "a:s#"]), text(), "x") for _ in range(1500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment string")
+    turns = chat.canonical_turns(df)
+    whole = {r["conv_id"]: r for r in chat.conversations(turns).collect()}
+    ordered = defaultdict(list)
+    for i, k, role, t, _ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, (r[2] or "").encode(), (r[3] or "").encode())):
+        ordered[i].append((role or "", t or ""))
+    for r in chat.digests(turns).collect():
+        want, got = ordered[r["conv_id"]], whole[r["conv_id"]]
+        assert [x[:2] for x in chat.read_back(got["formatted"])] == want
+        learned = [t for role, t in want if role == "assistant"]
+        assert [chat.plain(got["formatted"][s["start"] : s["end"]]) for s in got["loss"]] == learned
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert tuple(r)[1:] == (len(want), sha("".join(f"{a}\n{t}\n" for a, t in want)), len("".join(learned)), sha("".join(learned)), len(got["formatted"]))
+    with pytest.raises(ValueError):
+        chat.read_back("### user: " + "a" * 100_000)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
