@@ -7,8 +7,8 @@ without a known pair leave the array. Rounds go on until it is empty. Encoded wo
 
 Special tokens found in a text become their own ids, as the tokenizers library does by default.
 
-Cases: a null or empty text has no ids and decodes to an empty text. Bytes that are no UTF-8 decode to U+FFFD. Order,
-repeated rows and extra columns are kept; an empty table gives an empty result.
+Cases: a null or empty text has no ids and decodes to an empty text. Bytes that are no UTF-8 decode to U+FFFD. Repeated
+rows are encoded each; extra columns are left behind, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,7 +69,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
             spark.conf.set(key, str(most))
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str | StructType) -> DataFrame:
     """mapInArrow where f yields dicts of columns (lists, numpy or Arrow arrays), in any order."""
     small_batches(df.sparkSession)
     empty = df.sparkSession.createDataFrame([], schema)

@@ -12,7 +12,8 @@ Shots: a cut lies before a frame whose grey histogram differs from the one befor
 differences seen around it plus `k` of their deviations. clips() yields timed rows.
 
 Cases: a null or empty text is stored as 192 blanks. Equal texts give equal files. Very long texts give more frames;
-memory is bounded by one batch. An empty table gives an empty result; extra columns are carried by doc_id joins.
+memory is bounded by one batch. Repeated rows are stored each. An empty table gives an empty result; extra columns are
+left behind, whatever their names.
 """
 
 from __future__ import annotations

@@ -28,7 +28,8 @@ from .common import documents, written
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
-    """How many of n rows drawn from good + bad are good, exactly: inversion outwards from the mode, O(deviation)."""
+    """How many of n rows drawn from good + bad are good: inversion outwards from the mode, O(deviation). Probabilities
+    are exact but for the rounding of lgamma, which grows with the numbers: about 1e-3 of p at 1e12 rows."""
     low, high = max(0, n - bad), min(n, good)
     if low == high:
         return low
@@ -70,9 +71,17 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> list[list
     return matrix
 
 
-def shuffle_shards(df: DataFrame, shards: int = 8, seed: int = 17, blocks: int = 512, cells: int = 512, key: list[str] | None = None) -> DataFrame:
-    """df with the columns shard int and slot long. key: columns that tell rows apart (all by default)."""
+def shuffle_shards(df: DataFrame, shards: int = 8, seed: int = 17, blocks: int | None = None, cells: int | None = None, key: list[str] | None = None) -> DataFrame:
+    """df with the columns shard int and slot long. key: columns that tell rows apart (all by default).
+
+    blocks and cells (powers of two) follow the number of rows where they are not given: at least 512 blocks and 4096
+    cells of all shards, of about two million rows at most.
+    """
     spark = df.sparkSession
+    if blocks is None or cells is None:
+        rows = df.count()
+        blocks = blocks or max(512, 1 << (rows // 2_000_000).bit_length())
+        cells = cells or max(512, 1 << (rows // (shards * 2_000_000)).bit_length())
     names = [c for c in df.columns if c not in ("shard", "slot")]
     # plain names inside, so that no column of df clashes with a working one
     plain = {c: f"c{i}" for i, c in enumerate(names)}

@@ -9,12 +9,12 @@ than others. It is learned on one half of the sample for the features of the oth
 that their own labels made; the final lexicon is learned on both halves. Trees are fitted on binned features with
 logistic loss; isotonic regression over out-of-half predictions maps their output to a probability.
 
-Learning takes a bounded sample: at most `per_class` labelled rows of each class, by the smallest hash of the id.
-Texts never reach the driver: it gets document frequencies that pass a floor, at most `per_class` times the features'
+Learning takes a bounded sample: at most `per_class` labelled rows of each class, by the smallest hash of the id. The
+learned lexicon has at most `most` units. Texts never reach the driver: it gets three lexicons, the sample's feature
 rows, and nothing else.
 
-Cases: null and empty texts have all features 0 and get the score of that. Without labels of both classes the score is
-the rate of toxic labels (0 if there are none). Repeated label rows count each; null labels are left out. Extra
+Cases: null and empty texts have all features 0 and get the score of that. Without documents with labels of both classes
+the score is the rate of toxic labels (0 if there are none). Repeated label rows count each; null labels are left out. Extra
 columns are left behind.
 """
 
@@ -26,8 +26,12 @@ import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Shared, crc_mod, documents, map_batches, text_bytes, written
+from .common import Shared, crc_mod, documents, map_arrow, map_batches, text_bytes, written
+
+#: Scores from here on are predicted toxic.
+THRESHOLD = 0.7
 
 # Common insults, and second-person words of the languages at hand.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb fool fools loser losers scum trash garbage pathetic disgusting worthless clown clowns imbecile jerk creep freak ugly vermin filth filthy coward crap damn hate liar pig pigs rat rats".split())
@@ -137,16 +141,13 @@ def features(text: str | None, facts: TokenFacts) -> list[float]:
     return [*dense, *rates, count(CAPITAL) / n, *marks, count(ODD) / n, count(LONG) / n, *common]
 
 
-def learned_lexicon(counts: dict[str, tuple[int, int]], positive: int, negative: int, most: int = 2000) -> dict[str, float]:
-    """Log odds of the units that mark toxic texts: those at least 20 times likelier there, by how many texts they mark."""
-    floor = max(2, 0.002 * positive)
-    out = []
-    for unit, (p, n) in counts.items():
-        if p >= floor:
-            weight = float(np.log((p + 0.1) / (positive + 1)) - np.log((n + 0.1) / (negative + 1)))
-            if weight >= 3:
-                out.append((p * weight, unit, weight))
-    return {u: w for _, u, w in sorted(out, key=lambda x: (-x[0], x[1]))[:most]}
+def learned_lexicon(units: DataFrame, positive: int, negative: int, most: int = 2000) -> dict[str, float]:
+    """Log odds of the `most` units that mark most toxic texts, of those at least 20 times likelier there. units: (unit, p, n), in how
+    many toxic and other texts; positive and negative: how many such texts there are."""
+    weight = F.log((F.col("p") + 0.1) / (positive + 1)) - F.log((F.col("n") + 0.1) / (negative + 1))
+    some = units.where(F.col("p") >= max(2, 0.002 * positive)).withColumn("weight", weight).where("weight >= 3")
+    top = some.orderBy(F.desc(F.col("p") * F.col("weight")), "unit").limit(most)  # the lexicon's size is a feature
+    return {r["unit"]: r["weight"] for r in top.select("unit", "weight").collect()}
 
 
 # ------------------------------------------------------------------ trees
@@ -243,8 +244,8 @@ def sample_of(labels: DataFrame, per_class: int) -> DataFrame:
     return parts[0].union(parts[1]).withColumn("half", F.pmod("h", F.lit(2)).cast("int")).drop("h")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model:
-    """docs(doc_id, text), labels(doc_id, toxic)."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, most: int = 2000) -> Model:
+    """docs(doc_id, text), labels(doc_id, toxic). most: units in the learned lexicon."""
     spark = docs.sparkSession
     shares = {r["y"]: r["n"] for r in labels.where("toxic IS NOT NULL").groupBy((F.col("toxic") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
@@ -264,13 +265,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model:
         for k, c in enumerate(held):
             yield {"unit": list(c), "k": [k] * len(c), "n": list(c.values())}
 
-    by_unit = map_batches(texts, frequencies, "unit string, k int, n long").groupBy("unit").agg(*[F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)])
+    counted = map_batches(texts, frequencies, "unit string, k int, n long").groupBy("unit").agg(*[F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)])
+    by_unit = written(counted.where("n1 + n3 >= 2"), "toxic-units")
     sizes = {(r["half"], r["y"]): r["n"] for r in texts.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
-    positive = sum(sizes.get((h, 1), 0) for h in (0, 1))
-    # of the bounded sample, and only units that mark enough toxic texts
-    got = by_unit.where(f"n1 + n3 >= {max(2, 0.001 * positive)} AND n1 + n3 > n0 + n2").collect()
-    half = lambda h: learned_lexicon({r["unit"]: (r[f"n{2 * h + 1}"], r[f"n{2 * h}"]) for r in got}, sizes.get((h, 1), 0), sizes.get((h, 0), 0))
-    both = learned_lexicon({r["unit"]: (r["n1"] + r["n3"], r["n0"] + r["n2"]) for r in got}, positive, sum(sizes.get((h, 0), 0) for h in (0, 1)))
+    size = lambda y, *halves: sum(sizes.get((h, y), 0) for h in halves)
+    half = lambda h: learned_lexicon(by_unit.select("unit", F.col(f"n{2 * h + 1}").alias("p"), F.col(f"n{2 * h}").alias("n")), size(1, h), size(0, h), most)
+    both = learned_lexicon(by_unit.select("unit", F.expr("n1 + n3").alias("p"), F.expr("n0 + n2").alias("n")), size(1, 0, 1), size(0, 0, 1), most)
     sent = Shared(spark, [half(1), half(0)])  # by half: the lexicon of the other
 
     def dense(batches):
@@ -279,6 +279,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model:
             yield {"y": b["y"], "half": b["half"], "x": [[float(v) for v in features(t, facts[h])] for t, h in zip(b["text"], b["half"])]}
 
     rows = map_batches(texts, dense, "y int, half int, x array<double>").collect()  # at most 2 * per_class short rows
+    if len({r["y"] for r in rows}) < 2:  # labels of documents that are not there
+        return Model({}, None, (np.zeros(1), np.zeros(1)), rate)
     x, y, h = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float), np.array([r["half"] for r in rows])
     order = np.lexsort((*x.T, y, h))  # the same trees whatever the rows' order
     x, y, h = x[order], y[order], h[order]
@@ -291,29 +293,38 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Model:
     return Model(both, Trees().fit(x, y, w), isotonic(raw, y, w), rate)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(doc_id, held_out, text) as doc_id, held_out, score."""
+def score(docs: DataFrame, model: Model, name: str = "score", without: tuple[str, ...] = ("text",)) -> DataFrame:
+    """docs(text, ...) with the column `name`, each text's score, beside all other columns but `without`: scored where a text
+    is read, without a shuffle."""
+    if name in docs.columns:
+        raise ValueError(f"docs has a column {name}")
     sent = Shared(docs.sparkSession, model)
+    stay = [f for f in docs.schema.fields if f.name not in without]
 
     def run(batches):
         m = sent.get()
         facts = TokenFacts(m.lexicon)
         for b in batches:
-            x = np.array([features(t, facts) for t in b["text"]], float).reshape(-1, len(FEATURES))
-            yield {"doc_id": b["doc_id"], "held_out": b["held_out"], "score": m.score(x).tolist()}
+            x = np.array([features(t, facts) for t in b.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
+            yield {f.name: b.column(f.name) for f in stay} | {name: m.score(x)}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text"), run, "doc_id long, held_out boolean, score double")
+    return map_arrow(docs, run, T.StructType([*stay, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
     return crc_mod(doc_id, 3) == 1
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **kw) -> DataFrame:
-    """Every document's score, the model learned from labels of rows that are not held out."""
-    docs = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    model = train(docs.where("NOT held_out"), labels.where(~held_out(F.col("doc_id"))), **kw)
-    return score(docs, model).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def learned(docs: DataFrame, labels: DataFrame, **kw) -> Model:
+    """The model of docs(doc_id, text) by the labels(doc_id, toxic) of rows that are not held out."""
+    return train(docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))), labels.where(~held_out(F.col("doc_id"))), **kw)
+
+
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **kw) -> DataFrame:
+    """Every document's score as doc_id, held_out, score, predicted; the model learned from labels of rows that are not held out."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = score(docs.withColumn("held_out", held_out(F.col("doc_id"))), learned(docs, labels, **kw))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

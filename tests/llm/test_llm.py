@@ -356,6 +356,96 @@ def test_toxicity(spark, docs, none):
     assert t.tolist() == [0, 0.5, 1] and x.tolist() == [1, 2.5, 4]
 
 
+def test_toxicity_trees_against_all_splits():
+    """A tree of one level is the best of all splits, counted one by one; its leaves are the Newton steps."""
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 6, (60, 3)).astype(float), (rng.random(60) < 0.4).astype(float)
+    w = rng.random(60) + 0.5
+    t = toxicity.Trees(rounds=1, depth=1, rate=0.5).fit(x, y, w)
+    base = math.log((w * y).sum() / (w * (1 - y)).sum())
+    p = 1 / (1 + math.exp(-base))
+    g, h = w * (p - y), w * p * (1 - p)
+    step = lambda m: (-g[m].sum() / (h[m].sum() + 1), g[m].sum() ** 2 / (h[m].sum() + 1))
+    splits = [(step(x[:, f] <= v)[1] + step(x[:, f] > v)[1], f, v) for f in range(3) for v in range(6) if min(h[x[:, f] <= v].sum(), h[x[:, f] > v].sum()) > 0.5]
+    _, f, v = max(splits)
+    want = base + 0.5 * np.where(x[:, f] <= v, step(x[:, f] <= v)[0], step(x[:, f] > v)[0])
+    assert np.allclose(t.raw(x), want)
+
+
+def test_toxicity_features_by_hand():
+    f = dict(zip(toxicity.FEATURES, toxicity.features("YOU are STUPID!! so $tup1d heyyyy", toxicity.TokenFacts({}))))
+    assert (f["fixed"], f["fixed_density"], f["hidden"], f["near"], f["capital_words"], f["obfuscated"], f["stretched"]) == (2, 2 / 6, 1, 2, 2 / 6, 1 / 6, 1 / 6)
+    size = len("YOU are STUPID!! so $tup1d heyyyy")
+    assert (f["capitals"], f["exclaims"], f["marks"]) == (9 / size, 2 / 6, 3 / size)
+    assert math.isclose(f["log_words"], math.log(7)) and math.isclose(f["letter_share"], (size - 5 - 4) / size)
+    assert toxicity.features(None, toxicity.TokenFacts({})) == toxicity.features(" \n", toxicity.TokenFacts({})) == [0.0] * len(toxicity.FEATURES)
+
+
+def test_toxicity_lexicon_and_cases(spark, docs, none):
+    units = spark.createDataFrame([("bad", 50, 0), ("rare", 1, 0), ("both", 50, 50), ("worse", 80, 1)], "unit string, p long, n long")
+    got = toxicity.learned_lexicon(units, 100, 100)
+    want = {u: math.log((p + 0.1) / 101) - math.log((n + 0.1) / 101) for u, p, n in (("bad", 50, 0), ("worse", 80, 1))}
+    assert list(got) == ["worse", "bad"] and all(math.isclose(got[u], want[u]) for u in want)
+    assert list(toxicity.learned_lexicon(units, 100, 100, most=1)) == ["worse"]
+    # null labels and ids are left out, repeated labels count each, documents may be none
+    labels = spark.createDataFrame([(4, 1), (4, 1), (7, 0), (8, None), (None, 1), (9, 0), (10, 0)], "doc_id long, toxic int")
+    out = toxicity.scored(docs, labels).collect()
+    assert len(out) == len(texts()) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in out)
+    assert len({r["score"] for r in out if r["doc_id"] in (0, 1, 2)}) == 1
+    assert toxicity.scored(none, labels).count() == 0
+
+
+def test_hypergeometric_against_exact_probabilities():
+    """Inversion of an even grid of numbers gives each value its exact share of the grid."""
+    class Grid:
+        def __init__(self, n):
+            self.values = iter((i + 0.5) / n for i in range(n))
+
+        def random(self):
+            return next(self.values)
+
+    for good, bad, n in ((5, 7, 4), (3, 0, 2), (1, 40, 30), (20, 20, 20)):
+        grid, size = Grid(5000), 5000
+        got = Counter(sharding.hypergeometric(grid if min(n, good) > max(0, n - bad) else None, good, bad, n) for _ in range(size))
+        for k in range(n + 1):
+            p = math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n)
+            assert abs(got[k] / size - p) <= 1.5 / size
+
+
+def test_sharding_repeated_rows(spark):
+    """Rows equal in all columns are dealt each; the sizes stay exact."""
+    df = spark.createDataFrame([(1, "x")] * 50 + [(None, None)] * 20 + [(2, "")] * 3, "doc_id long, text string")
+    got = sharding.shuffle_shards(df, 4).collect()
+    sizes = Counter(r["shard"] for r in got)
+    assert sorted(sizes.values()) == [18, 18, 18, 19] and all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in sizes.items())
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter({(1, "x"): 50, (None, None): 20, (2, ""): 3})
+
+
+def test_media_shots_and_features(spark):
+    """A hard change is a cut, in frames and seconds; the feature is recomputed from the payload alone."""
+    rows = [(1, "a" * 192 * 30 + "Z" * 192 * 45), (2, "q" * 192 * 3), (3, " ".join(str(k * k) for k in range(4000))), (None, None)]
+    stored = media.store_media(spark.createDataFrame(rows, "doc_id long, text string"))
+    shots = [(r["doc_id"], r["start_frame"], r["end_frame"], r["start_s"], r["end_s"]) for r in media.clips(stored).where("doc_id < 3").orderBy("doc_id", "shot").collect()]
+    assert shots == [(1, 0, 30, 0.0, 1.2), (1, 30, 75, 1.2, 3.0), (2, 0, 3, 0.0, 0.12)]
+    text = dict(rows)
+    for r in media.media_digest(stored).collect():
+        x = np.frombuffer(media.payload_of(text[r["doc_id"]])[1], np.uint8).reshape(-1, 192)
+        h = [Counter((f // 16).tolist()) for f in x]
+        diff = [sum(abs(a[k] - b[k]) for k in range(16)) / 384 for a, b in zip(h, h[1:])]
+        cut = 0
+        for i, d in enumerate(diff):
+            near = diff[max(0, i - 24) : i + 25]
+            cut += d > np.mean(near) + 2 * np.std(near) + 1e-12 and d > 0.15
+        assert r["feature"] == f"frames={len(x)};shots={cut + 1};grey={x.mean():.4f};difference={np.mean(diff) if diff else 0:.4f}"
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Long texts come in small batches, whatever their number of rows."""
+    df = spark.range(0, 60, 1, 1).select("id", F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    sizes = [r["n"] for r in common.map_batches(df, lambda bs: ({"n": [sum(map(len, b["text"]))]} for b in bs), "n long").collect()]
+    assert sum(sizes) == 60 << 20 and max(sizes) <= common.BATCH_BYTES + (2 << 20)
+
+
 def test_chat(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
@@ -431,27 +521,78 @@ def test_chat_mask_and_long_conversations(spark):
         chat.read_back("### user: " + "a" * 100_000)
 
 
+def key_of(line):
+    return line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+
+
+def deduped(rows):
+    """Brute force of the line dedup stage over (id, text): what stays of each, without texts that it empties."""
+    holders = defaultdict(set)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            holders[key_of(x)].add(i)
+    out = {}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        stay = [x for x in lines if len(key_of(x)) < 10 or min(holders[key_of(x)]) == i]
+        if len(stay) == len(lines):
+            out[i] = t
+        elif any(SPACED.search(x) for x in stay):
+            out[i] = "\n".join(stay)
+    return out
+
+
+def first_of_copies(rows, percent):
+    """Brute force of near-dedup over (id, text): the smallest id of each component of links by shared shingles."""
+    sets, holders, common, root = {}, defaultdict(list), Counter(), {i: i for i, _ in rows}
+    for i, t in rows:
+        w = SPACED.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        for s in sets[i]:
+            holders[s].append(i)
+    for ids in holders.values():
+        common.update(combinations(sorted(ids), 2))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, k), n in common.items():
+        if 100 * n >= percent * (len(sets[i]) + len(sets[k]) - n):
+            a, b = sorted((find(i), find(k)))
+            root[b] = a
+    return {i for i in root if find(i) == i}
+
+
 def test_pipeline(spark):
+    """Each stage against brute force on its own input; toxicity against the scores of the operator."""
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        before = dict(rows)
+        if name == "toxicity":
+            scores = {r["doc_id"]: r["predicted"] for r in toxicity.scored(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
         docs = common.written(stage(spark, docs, sf), "test-stage")
-        after = {r["doc_id"]: r["text"] for r in docs.collect()}
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and set(after) <= set(before), name
+        got = docs.collect()
+        after = {r["doc_id"]: r["text"] for r in got}
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and len(after) == len(got) < len(rows), name
+        if name == "toxicity":
+            assert after == {i: t for i, t in rows if not scores[i]}
         if name == "line dedup":
-            assert set(after) == set(before) and after != before
-        else:
-            assert len(after) < len(before) and all(after[i] == before[i] for i in after)
+            assert after == deduped(rows) and all(r["n_chars"] == len(r["text"] or "") for r in got)
+        if name == "near-dedup":
+            assert after == {i: before[i] for i in first_of_copies(rows, 80)}
         if name == "decontamination":
             items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
             cut = lambda w: [w[i : i + 10] for i in range(max(1, len(w) - 9) if w else 0)]
             windows = {tuple(x) for _, t in items for x in cut(decontaminate.words(t))}
             sizes = {len(x) for x in windows}
             clean = lambda w: not any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
-            assert {i for i in before if clean(decontaminate.words(before[i]))} == set(after)
+            assert after == {i: t for i, t in rows if clean(decontaminate.words(t))}
 
 
 def test_pipeline_cases(spark, tmp_path):
@@ -471,8 +612,8 @@ def test_pipeline_cases(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             got = common.written(stage(spark, got, str(tmp_path)), "test-stage")
             assert got.columns == docs.columns
-        # line dedup empties the copy, and texts without words are linked with nothing
-            want = [(None, clean[0]), (None, clean[1]), (5, clean[2]), (None, ""), (9, None), (None, None)] if name == "some" else []
+            # line dedup empties the copy, so it goes; texts without words are linked with nothing
+            want = [(None, clean[0]), (None, clean[1]), (5, clean[2]), (9, None), (None, None)] if name == "some" else []
         assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(want)
         last = corpus_pipeline.STAGES[-1][1](spark, got, str(tmp_path)).collect()
         assert Counter(r["doc_id"] for r in last) == Counter(i for i, _ in want)
@@ -615,7 +756,7 @@ def test_pipeline_rows_without_own_ids(spark, tmp_path):
         return Counter((r["doc_id"], r["text"]) for r in got.collect())
 
     got = run("line dedup", [(None, f"{x}\n{line}"), (None, f"{y}\n{line}"), (2, z), (2, z)])
-    assert sum(line in (t or "") for _, t in got.elements()) == 1 and got[2, z] == 1
+    assert sum(line in (t or "") for _, t in got.elements()) == 1 and got[2, z] == 1 and got.total() == 3
     assert run("near-dedup", [(None, x), (None, x), (None, x + " tail"), (7, y), (7, y), (7, z), (4, u), (None, u)]).total() == 4
     assert run("decontamination", [(5, x), (5, f"start {item} end"), (None, y)]) == Counter([(5, x), (None, y)])
 
