@@ -207,10 +207,14 @@ def _rest(docs: DataFrame, entries: DataFrame, reps: DataFrame, found: DataFrame
     """
     import pandas as pd
 
+    spark = docs.sparkSession
     placed = entries.join(found.withColumnRenamed("node", "id"), "id", "left").join(reps.select("id", "n"), "id").select("band", "key", "id", "n", F.coalesce("component", "id").alias("component"))
     sums = placed.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum("n").alias("elements"), F.min("component").alias("x"), F.max("component").alias("y"))
     k = F.ceil(F.greatest(F.col("size") / block, F.col("elements") / (4 << 20))).cast("int").alias("k")
     members = placed.join(sums.where("x <> y").select("band", "key", k), ["band", "key"])
+    # partitions by the pairs to be compared, not by bytes
+    work = sums.where("x <> y").agg(F.sum(F.col("size").cast("double") * F.col("size"))).first()[0] or 0.0
+    parts = int(min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), work / 2e7)))
     own = members.withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     group = ["band", "key", "lo", "hi"]
     dealt = own.select("band", "key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "id", "component", "n").join(reps.select("id", "registers"), "id")
@@ -221,14 +225,20 @@ def _rest(docs: DataFrame, entries: DataFrame, reps: DataFrame, found: DataFrame
         ids, comp, n, i = (pdf[c].to_numpy() for c in ("id", "component", "n", "i"))
         band, lo, hi = (int(pdf[c].iloc[0]) for c in ("band", "lo", "hi"))
         left, right = np.flatnonzero(i == lo), np.flatnonzero(i == hi)
+        right = right[np.argsort(n[right], kind="stable")]
+        near, small, large = r[right], 100 * n[right], percent * n[right]
         for x in left:
-            y = right[(comp[right] != comp[x]) & ((lo != hi) | (ids[right] > ids[x]))]
-            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-            # registers agree about as often as the sets; of the buckets that two share, the first takes the pair
-            same = r[y] == r[x]
-            ok = same.sum(1) >= (cut - 0.05) * M
+            # sizes that fit are a stretch
+            a, z = np.searchsorted(small, percent * n[x]), np.searchsorted(large, 100 * n[x], "right")
+            y, same = right[a:z], near[a:z] == r[x]
+            # registers agree about as often as the sets; a row's marks are added up as bytes of 64-bit numbers
+            agree = (same.view(np.uint64).sum(1) * np.uint64(0x0101010101010101)) >> np.uint64(56)
+            ok = (agree >= (cut - 0.05) * M) & (comp[y] != comp[x])
+            if lo == hi:
+                ok &= ids[y] > ids[x]
             y, same = y[ok], same[ok]
             if len(y):
+                # of the buckets that two share, the first takes the pair
                 y = y[same[:, : bands * rows].reshape(-1, bands, rows).all(2).argmax(1) == band]
                 y = y[likely_at_least(r[x], r[y], np.full(len(y), float(n[x])), n[y].astype(float), cut)]
             if len(y):
@@ -256,10 +266,10 @@ def _rest(docs: DataFrame, entries: DataFrame, reps: DataFrame, found: DataFrame
         got = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
 
-    some = written(dealt.groupBy(*group).applyInPandas(candidates, "band int, key long, lo int, hi int, i int, id long, component long, n long"), "near-open")
+    some = written(dealt.repartition(parts, *group).groupBy(*group).applyInPandas(candidates, "band int, key long, lo int, hi int, i int, id long, component long, n long"), "near-open")
     ids = some.select("id").distinct().join(reps.select("id", "doc_id", "th", "ha", "registers"), "id")
     sets = written(_full_sets(docs, ids.drop("registers")), "near-sets").join(ids.select("id", "registers"), "id")
-    return written(some.join(sets, "id").groupBy(*group).applyInPandas(link, "a long, b long"), "near-more")
+    return written(some.join(sets, "id").repartition(parts, *group).groupBy(*group).applyInPandas(link, "a long, b long"), "near-more")
 
 
 def _labelled(table: DataFrame, classes: DataFrame, found: DataFrame, hot_share: float) -> DataFrame:
