@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,30 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[dict]], Iterable[dict]], sc
     return map_arrow(df, lambda batches: f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches), schema)
 
 
+def numbers(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows that lie sorted by the whole numbers in `by`, in tables that end where a group ends, and where groups begin and end."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(table):
+        keys = [numbers(table.column(c)) for c in by]
+        return [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), len(table)]
+
+    for b in batches:
+        if b.num_rows:
+            table = pa.Table.from_batches([*held, b])
+            ends = cut(table)
+            if len(ends) > 2:
+                yield table.slice(0, ends[-2]).combine_chunks(), ends[:-1]
+            held = table.slice(ends[-2]).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, cut(table)
+
+
 def _arrow(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, Shared, crc_mod, documents, map_arrow, map_batches, text_bytes, written
+from .common import LOWER_BYTES, Shared, crc_mod, documents, map_arrow, map_batches, numbers, text_bytes, written
 
 #: The code of the end; codes of words are negative.
 END = 0
@@ -262,10 +262,6 @@ def flat(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def numbers(column) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False)
-
-
 def transitions(table: DataFrame, of_batch, size: int) -> np.ndarray:
     """Counts of transitions among `size` classes; of_batch gives those before and after each token of a batch."""
 

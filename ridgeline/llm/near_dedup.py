@@ -28,11 +28,12 @@ go to the smaller doc_id. An empty table gives an empty result. Extra columns ar
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, components, documents, map_batches, small_batches, text_bytes, written
+from .common import LOWER_BYTES, components, documents, map_arrow, map_batches, numbers, small_batches, text_bytes, whole_groups, written
 
 M, A, BASE, Q = 128, 20.0, 1.001, (1 << 16) - 2
 LAST = (1 << 63) - 1
@@ -205,8 +206,6 @@ def _rest(docs: DataFrame, entries: DataFrame, reps: DataFrame, found: DataFrame
     follow only for members with a partner that the estimate leaves. Counts of common elements are taken there, so only
     members and links come out, not pairs.
     """
-    import pandas as pd
-
     spark = docs.sparkSession
     placed = entries.join(found.withColumnRenamed("node", "id"), "id", "left").join(reps.select("id", "n"), "id").select("band", "key", "id", "n", F.coalesce("component", "id").alias("component"))
     sums = placed.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum("n").alias("elements"), F.min("component").alias("x"), F.max("component").alias("y"))
@@ -219,11 +218,8 @@ def _rest(docs: DataFrame, entries: DataFrame, reps: DataFrame, found: DataFrame
     group = ["band", "key", "lo", "hi"]
     dealt = own.select("band", "key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "id", "component", "n").join(reps.select("id", "registers"), "id")
 
-    def partners(pdf: pd.DataFrame):
+    def partners(band, lo, hi, ids, comp, n, i, r):
         """(x, y): rows of the left block, each with those of the right block that the estimate leaves."""
-        r = np.frombuffer(b"".join(pdf.registers), "<u2").reshape(-1, M)
-        ids, comp, n, i = (pdf[c].to_numpy() for c in ("id", "component", "n", "i"))
-        band, lo, hi = (int(pdf[c].iloc[0]) for c in ("band", "lo", "hi"))
         left, right = np.flatnonzero(i == lo), np.flatnonzero(i == hi)
         right = right[np.argsort(n[right], kind="stable")]
         near, small, large = r[right], 100 * n[right], percent * n[right]
@@ -236,40 +232,56 @@ def _rest(docs: DataFrame, entries: DataFrame, reps: DataFrame, found: DataFrame
             ok = (agree >= (cut - 0.05) * M) & (comp[y] != comp[x])
             if lo == hi:
                 ok &= ids[y] > ids[x]
+            if not ok.any():
+                continue
             y, same = y[ok], same[ok]
-            if len(y):
-                # of the buckets that two share, the first takes the pair
-                y = y[same[:, : bands * rows].reshape(-1, bands, rows).all(2).argmax(1) == band]
-                y = y[likely_at_least(r[x], r[y], np.full(len(y), float(n[x])), n[y].astype(float), cut)]
+            # of the buckets that two share, the first takes the pair
+            y = y[same[:, : bands * rows].reshape(-1, bands, rows).all(2).argmax(1) == band]
+            y = y[likely_at_least(r[x], r[y], np.full(len(y), float(n[x])), n[y].astype(float), cut)]
             if len(y):
                 yield x, y
 
-    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-        mark = np.zeros(len(pdf), bool)
-        for x, y in partners(pdf):
-            mark[x] = mark[y] = True
-        return pdf.loc[mark, [*group, "i", "id", "component", "n"]]
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, n = pdf["id"].to_numpy(), pdf["n"].to_numpy()
-        known, flat = np.unique(np.frombuffer(b"".join(pdf.elements), np.uint64), return_inverse=True)
-        ends = np.cumsum(n)
-        mark = np.zeros(len(known), bool)
-        out = []
-        for x, y in partners(pdf):
-            own = flat[ends[x] - n[x] : ends[x]]
-            mark[own] = True
-            common = np.array([int(mark[flat[ends[t] - n[t] : ends[t]]].sum()) for t in y])
-            mark[own] = False
-            y = y[100 * common >= percent * (n[x] + n[y] - common)]
-            out += [(min(ids[x], ids[t]), max(ids[x], ids[t])) for t in y]
-        got = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
-
-    some = written(dealt.repartition(parts, *group).groupBy(*group).applyInPandas(candidates, "band int, key long, lo int, hi int, i int, id long, component long, n long"), "near-open")
+    def blocks(batches):
+        """Each pair of blocks that lies whole in a table: the table, where it begins and ends there, and its partners."""
+        for table, ends in whole_groups(batches, group):
+            whole = [numbers(table.column(c)) for c in ("band", "lo", "hi", "id", "component", "n", "i")]
+            r = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(-1, M)
+            for a, z in zip(ends, ends[1:]):
+                band, lo, hi, *own = (c[a:z] for c in (*whole, r))
+                yield table, a, z, partners(int(band[0]), int(lo[0]), int(hi[0]), *own)
+
+    def candidates(batches):
+        for table, a, z, pairs in blocks(batches):
+            mark = np.zeros(z - a, bool)
+            for x, y in pairs:
+                mark[x] = mark[y] = True
+            if mark.any():
+                found = table.slice(a, z - a).filter(pa.array(mark))
+                yield {c: found.column(c).combine_chunks() for c in (*group, "i", "id", "component", "n")}
+
+    def link(batches):
+        for table, a, z, pairs in blocks(batches):
+            own = table.slice(a, z - a)
+            ids, n = numbers(own.column("id")), numbers(own.column("n"))
+            known, flat = np.unique(np.frombuffer(b"".join(own.column("elements").to_pylist()), np.uint64), return_inverse=True)
+            ends, mark, out = np.cumsum(n), np.zeros(len(known), bool), set()
+            for x, y in pairs:
+                of = flat[ends[x] - n[x] : ends[x]]
+                mark[of] = True
+                common = np.array([int(mark[flat[ends[t] - n[t] : ends[t]]].sum()) for t in y])
+                mark[of] = False
+                y = y[100 * common >= percent * (n[x] + n[y] - common)]
+                out |= {(min(ids[x], ids[t]), max(ids[x], ids[t])) for t in y}
+            got = np.array(sorted(out), np.int64).reshape(-1, 2)
+            yield {"a": got[:, 0], "b": got[:, 1]}
+
+    def together(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, *group).sortWithinPartitions(*group)
+
+    some = written(map_arrow(together(dealt), candidates, "band int, key long, lo int, hi int, i int, id long, component long, n long"), "near-open")
     ids = some.select("id").distinct().join(reps.select("id", "doc_id", "th", "ha", "registers"), "id")
     sets = written(_full_sets(docs, ids.drop("registers")), "near-sets").join(ids.select("id", "registers"), "id")
-    return written(some.join(sets, "id").repartition(parts, *group).groupBy(*group).applyInPandas(link, "a long, b long"), "near-more")
+    return written(map_arrow(together(some.join(sets, "id")), link, "a long, b long"), "near-more")
 
 
 def _labelled(table: DataFrame, classes: DataFrame, found: DataFrame, hot_share: float) -> DataFrame:
