@@ -56,3 +56,14 @@ def button_name(button: Column) -> Column:
 def button_ids(combination: Column) -> Column:
     """The ids of a combination as A+B, in order."""
     return F.transform(F.split(combination, "[+]"), button_id)
+
+
+def process_name(name: Column) -> Column:
+    """A process's name as it is compared: lower-cased, with .exe at its end."""
+    plain = F.lower(name)
+    return F.when(plain.endswith(".exe"), plain).otherwise(F.concat(plain, F.lit(".exe")))
+
+
+def shown_title(title: Column, part: str, visible: Column | None = None) -> Column:
+    """Whether a visible window's title is not empty and holds part, in the same case."""
+    return (F.lit(True) if visible is None else F.coalesce(visible, F.lit(False))) & F.coalesce((title != "") & title.contains(part), F.lit(False))

@@ -80,6 +80,53 @@ def splice(df: DataFrame, keys: list[str], seq: str, at: int, rows: DataFrame) -
     return old.unionByName(new.select(*old.columns))
 
 
+def insert_after(df: DataFrame, keys: list[str], seq: str, selected: int | None, rows: DataFrame) -> DataFrame:
+    """df with rows (places from 0) put after the selected place of their key, or at its end where none is selected."""
+    return splice(df, keys, seq, (1 << 30) if selected is None or selected < 0 else selected + 1, rows)
+
+
+def replace_at(df: DataFrame, seq: str, at: Column, values: dict[str, Column]) -> DataFrame:
+    """df with new values in the row at place `at`; a place that is not there changes nothing."""
+    return df.withColumns({c: F.when(F.col(seq) == at, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def in_bounds(index: Column, size: Column) -> Column:
+    """Whether index is a place of a list of that size; null is none."""
+    return F.coalesce(index.between(F.lit(0), size - 1), F.lit(False))
+
+
+def restore(kept: DataFrame, deleted: DataFrame, keys: list[str], seq: str, chosen: Column) -> DataFrame:
+    """kept with the chosen rows of deleted at its end, the last deleted first, as they are taken from the end on."""
+    back = deleted.where(chosen).withColumn(seq, (F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(seq))) - 1).cast(kept.schema[seq].dataType))
+    return insert_after(kept, keys, seq, None, back)
+
+
+def first_of_either(df: DataFrame, name: str, order: str, wanted: list) -> DataFrame:
+    """The first row, by order, whose name is any of the wanted ones that are not null: a partial minimum, no sort."""
+    some = df.where(F.col(name).isin([w for w in wanted if w is not None]))
+    return some.agg(F.min_by(F.struct(*df.columns), order).alias("_r")).where("_r IS NOT NULL").select("_r.*")
+
+
+def distinct_first_seen(df: DataFrame, name: str, order: str) -> DataFrame:
+    """(name, first): each name once, with where it was seen first."""
+    return df.groupBy(name).agg(F.min(order).alias("first"))
+
+
+def name_set(df: DataFrame, keys: list[str], name: str, wanted: Column) -> DataFrame:
+    """(keys, names, has): the sorted names of a key, and whether the wanted one is among them."""
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_set(name)).alias("names"), F.bool_or(F.coalesce(F.col(name) == wanted, F.lit(False))).alias("has"))
+
+
+def names_of(df: DataFrame, index: str, names: DataFrame, default: str) -> DataFrame:
+    """df with the column name: that of its index in names(index, name), else the default."""
+    return df.join(names.select(index, "name"), index, "left").withColumn("name", F.coalesce("name", F.lit(default)))
+
+
+def sorted_keys(m: Column) -> Column:
+    """The keys of a map in order."""
+    return F.array_sort(F.map_keys(m))
+
+
 def invert(m: Column) -> Column:
     """A map with keys and values swapped; of equal values the last entry wins."""
     entries = F.map_entries(m)

@@ -69,18 +69,20 @@ def normalize_steps(steps: DataFrame) -> DataFrame:
 
 
 def _label() -> Column:
-    """What a step is shown as, without its place."""
+    """What a step is shown as, without its place. A step without a type is shown as such, not as a wait."""
     btn, direction = _or("btn", "A"), _or("dir", NEUTRAL)
-    text = F.when(_or("type", "wait") == "wait", F.concat(F.lit("延迟 "), F.bround(_or("delay", 0.0), 0).cast("bigint").cast("string"), F.lit("ms")))
+    # The words of the labels, here and in toggle_comments().
+    text = F.when(F.col("type") == "wait", F.concat(F.lit("延迟 "), F.bround(_or("delay", 0.0), 0).cast("bigint").cast("string"), F.lit("ms")))
     text = text.when(F.col("type") == "press", F.concat(F.lit("按下 "), btn)).when(F.col("type") == "release", F.concat(F.lit("松开 "), btn)).when(F.col("type") == "dir", F.concat(F.lit("方向 "), direction))
     tap = F.format_string("连按 %s ×%d  (%d/%dms)", btn, *[_or(c, v) for c, v in TAP.items()])
-    return text.when(F.col("type") == "tap", tap).when(F.col("type") == "comment", F.concat(F.lit("// "), _or("text", ""))).otherwise(F.col("type"))
+    return text.when(F.col("type") == "tap", tap).when(F.col("type") == "comment", F.concat(F.lit("// "), _or("text", ""))).otherwise(_or("type", "?"))
 
 
 def display(steps: DataFrame) -> DataFrame:
     """steps with the column label; numbers are places within the macro, from 1."""
     place = F.format_string("%3d.  ", F.row_number().over(Window.partitionBy("macro_id").orderBy("seq")))
-    return _filled(steps).withColumn("label", F.concat(place, _label()))
+    shown = steps.withColumns({c: _or(c, v) for c, v in TAP.items()})
+    return _filled(shown.withColumn("label", F.concat(place, _label())))
 
 
 def toggle_comments(steps: DataFrame, chosen: Column) -> DataFrame:
@@ -98,6 +100,23 @@ def toggle_comments(steps: DataFrame, chosen: Column) -> DataFrame:
     return s.withColumns(values).drop("_on")
 
 
+def sizes(steps: DataFrame, kind: Column) -> DataFrame:
+    """(macro_id, n_steps, n_waits) of steps, or of events as steps; kind: the step's type."""
+    return steps.groupBy("macro_id").agg(F.count("*").alias("n_steps"), F.count_if(kind == "wait").alias("n_waits"))
+
+
+def clamped(values: dict[str, Column]) -> dict[str, Column]:
+    """Edited numbers brought into range: delay and gap from 0, rep and dur from 1."""
+    least = {"delay": 0, "gap": 0, "rep": 1, "dur": 1}
+    return {c: F.greatest(v, F.lit(least[c])) for c, v in values.items()}
+
+
+def tap_times(rep: Column, dur: Column, gap: Column) -> Column:
+    """(rep, press_at, release_at) of each repetition of a tap, from its start; none for rep of 0 or less or null."""
+    at = lambda r: F.struct(r.alias("rep"), (r * (dur + gap)).cast("bigint").alias("press_at"), (r * (dur + gap) + dur).cast("bigint").alias("release_at"))
+    return F.when(rep > 0, F.transform(F.sequence(F.lit(0), rep - 1), at))
+
+
 def replay_events(steps: DataFrame, events: DataFrame, mirror: bool = False) -> DataFrame:
     """What a macro plays: its compiled steps where it has any, else its stored events, mirrored if asked for."""
     from_steps = compile_steps(steps, mirror)

@@ -11,6 +11,7 @@ from ..operators import capture as C
 from ..operators import lists as O
 from ..operators import steps as S
 from ..schemas import DIRECTIONS, NEUTRAL, STEPS
+from ..sources import json_io as J
 
 DAY_MS = 86_400_000
 
@@ -78,15 +79,13 @@ def new_steps(spark, d):
 
 def running_clock(spark, d):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "lineitem").select("l_orderkey", *order, F.sum("l_quantity").over(w).alias("clock")).drop("l_shipdate")
+    items = table(spark, d, "lineitem").select("l_orderkey", *order, "l_quantity")
+    return C.running_total(items, ["l_orderkey"], order, "l_quantity", "clock").drop("l_shipdate", "l_quantity")
 
 
 def repeat_expand(spark, d):
-    x = table(spark, d, "lineitem").where("l_linenumber <= 7").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.explode(F.sequence(F.lit(0), F.col("l_linenumber") - 1)).alias("rep"))
-    return x.groupBy("l_linenumber", "rep").agg(F.count("*").alias("n"), F.min(F.col("rep") * 80).cast("bigint").alias("press_at"), F.min(F.col("rep") * 80 + 50).cast("bigint").alias("release_at"))
+    x = table(spark, d, "lineitem").select("l_linenumber", F.explode(S.tap_times(F.col("l_linenumber"), F.lit(50), F.lit(30))).alias("e")).select("l_linenumber", "e.*")
+    return x.groupBy("l_linenumber", "rep").agg(F.count("*").alias("n"), F.min("press_at").alias("press_at"), F.min("release_at").alias("release_at"))
 
 
 def mirror_lookup(spark, d):
@@ -151,7 +150,7 @@ def lowest_free(spark, d):
 
 
 def distinct_first_seen(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.min("event_id").alias("first_id"))
+    return O.distinct_first_seen(table(spark, d, "events"), "event_type", "event_id").withColumnRenamed("first", "first_id")
 
 
 def last_300(spark, d):
@@ -164,7 +163,7 @@ def anti_then_union(spark, d):
 
 
 def json_field(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+    return table(spark, d, "events").select("event_id", J.field(F.col("props"), "$.k", "bigint").alias("k"))
 
 
 def move_down(spark, d):
@@ -174,21 +173,23 @@ def move_down(spark, d):
 
 def bindings_join(spark, d):
     e = table(spark, d, "events").where("event_type = 'click'").select("event_id", (F.col("event_id") % 6).cast("int").alias("code"))
-    binds = spark.createDataFrame([(0, 1, 4), (1, 1, 2), (2, 3, -1), (3, 5, 0)], "slot int, code int, macro_idx int").where("macro_idx >= 0")
-    return e.join(F.broadcast(binds), "code").select("event_id", "slot", "macro_idx")
+    binds = spark.createDataFrame([(0, 1, 4), (1, 1, 2), (2, 3, -1), (3, 5, 0)], "slot int, code int, macro_idx int")
+    return C.triggered(e, binds).select("event_id", "slot", "macro_idx")
 
 
 def macro_sizes(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n_events"), F.count_if(F.col("event_type") == "view").alias("n_waits"))
+    steps = event_steps(spark, d).select("macro_id", "type")
+    return S.sizes(steps, F.col("type")).select(F.col("macro_id").cast("bigint").alias("user_id"), F.col("n_steps").alias("n_events"), "n_waits")
 
 
 def clamp_inputs(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.greatest(F.col("p_size") - 10, F.lit(0)).alias("delay"), F.greatest(F.col("p_size") - 10, F.lit(1)).alias("rep"))
+    edited = {c: F.col("p_size") - 10 for c in ("delay", "rep")}
+    return table(spark, d, "part").select("p_partkey", *[v.alias(c) for c, v in S.clamped(edited).items()])
 
 
 def subrates(spark, d):
     tick = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 100_000)
-    return table(spark, d, "events").select(tick.alias("tick")).agg(F.count_if(F.col("tick") % 10 == 0).alias("each_1s"), F.count_if(F.col("tick") % 30 == 0).alias("each_3s"), F.count_if(F.col("tick") % 50 == 0).alias("each_5s"))
+    return table(spark, d, "events").select(tick.alias("tick")).agg(*[F.count_if(C.on_ticks(F.col("tick"), n)).alias(f"each_{n // 10}s") for n in (10, 30, 50)])
 
 
 def _nation_list(spark, d):
@@ -224,19 +225,19 @@ def combo_split(spark, d):
     return table(spark, d, "part").select("p_partkey", F.posexplode(L.button_ids(text)).alias("pos", "button"))
 
 
-def mask_buttons(spark, d):
-    return table(spark, d, "lineitem").where(~F.col("l_quantity").between(11, 14)).groupBy("l_quantity").agg(F.count("*").alias("n"))
+def id_range(spark, d):
+    e = table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") == 1, "hat").otherwise("btn").alias("type"), F.col("l_quantity").cast("int").alias("id"))
+    return C.known_ids(e).groupBy("type", "id").agg(F.count("*").alias("n"))
 
 
 def process_match(spark, d):
-    name = F.lower("c_name")
-    full = F.when(name.endswith(".exe"), name).otherwise(F.concat(name, F.lit(".exe")))
-    return table(spark, d, "customer").select("c_custkey", (full == "customer#000000007.exe").alias("same"), F.col("c_mktsegment").contains("BUILD").alias("titled"))
+    same = L.process_name(F.col("c_name")) == L.process_name(F.lit("Customer#000000007.EXE"))
+    return table(spark, d, "customer").select("c_custkey", same.alias("same"), L.shown_title(F.col("c_mktsegment"), "BUILD", F.col("c_nationkey") > 3).alias("titled"))
 
 
 def name_of_index(spark, d):
-    names = table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    return table(spark, d, "supplier").join(names, "s_nationkey", "left").select("s_suppkey", F.coalesce("n_name", F.lit("unbound")).alias("name"))
+    names = table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("name"))
+    return O.names_of(table(spark, d, "supplier"), "s_nationkey", names, "unbound").select("s_suppkey", "name")
 
 
 def inverse_map(spark, d):
@@ -245,7 +246,72 @@ def inverse_map(spark, d):
     return table(spark, d, "nation").select("n_nationkey", O.invert(m)[5].alias("key_of_5"), F.size(O.invert(m)).alias("n_keys"), F.size(put).alias("n_put"), put[2].alias("put_2"))
 
 
-QUERIES = {f.__name__: f for f in (change_detect, near_dup_suppress, compile_steps, compile_mirrored, normalize_steps, decode_events, step_display, new_steps, running_clock, repeat_expand, mirror_lookup, fuse_directions, button_parse, remap_ids, elapsed_time, merge_sources, rising_edges, session_bracket, debounce_last, first_match, renumber_after_delete, rebind, lowest_free, distinct_first_seen, last_300, anti_then_union, json_field, move_down, bindings_join, macro_sizes, clamp_inputs, subrates, move_up, duplicate_row, delete_row, splice_rows, direction_codes, combo_split, mask_buttons, process_match, name_of_index, inverse_map)}
+def _snapshots(spark, d):
+    """A pad for each user: its state at each event, made of the event's numbers."""
+    k = F.col("event_id")
+    button = lambda i: ((k + 7 * i) % (i + 2) == 0).cast("int")
+    hat = lambda m, n: F.struct((F.when(k % m == 0, 1).when(k % m == 1, -1).otherwise(0)).alias("x"), (F.when(k % n == 0, 1).otherwise(0)).alias("y"))
+    return table(spark, d, "events").select("user_id", "event_id", F.array(*[button(i) for i in range(16)]).alias("buttons"), F.array((k % 5 - 2) / 2.0, (k % 7 - 3) / 3.0).alias("axes"), F.array(hat(6, 9), hat(4, 5)).alias("hats"))
+
+
+def pad_events(spark, d):
+    return C.pad_events(_snapshots(spark, d), ["user_id"], ["event_id"], {1: 2, 2: 1})
+
+
+def pad_events_while_down(spark, d):
+    return C.pad_events(_snapshots(spark, d), ["user_id"], ["event_id"], mask="while_down")
+
+
+def replay(spark, d):
+    steps = event_steps(spark, d).where("type IN ('press', 'wait') AND macro_id % 2 = 0")
+    e = events(spark, d).select(F.col("user_id").cast("string").alias("macro_id"), F.col("event_id").alias("seq"), (F.col("event_id") * 2.5).alias("t"), F.lit("hat").alias("type"), F.lit(0).alias("id"), F.lit(None).cast("int").alias("val"), (F.col("event_id") % 4 - 1).cast("int").alias("hx"), F.lit(1).alias("hy"))
+    return S.replay_events(steps, e, mirror=True).select("macro_id", "seq", "pos", "t", "type", "id", "hx")
+
+
+def insert_rows(spark, d):
+    new = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("n_name"), F.lit(0).alias("seq"))
+    x = _nation_list(spark, d)
+    return O.insert_after(x, ["n_regionkey"], "seq", 1, new).unionByName(O.insert_after(x, ["n_regionkey"], "seq", None, new).withColumn("n_regionkey", F.col("n_regionkey") + 100))
+
+
+def replace_row(spark, d):
+    x = O.replace_at(_nation_list(spark, d), "seq", F.lit(1), {"n_name": F.lit("new")})
+    return x.withColumn("inside", O.in_bounds(F.col("seq") + 2, F.lit(5)))
+
+
+def restore_order(spark, d):
+    x = _nation_list(spark, d)
+    return O.restore(x.where("seq < 2"), x.withColumn("n_name", F.lower("n_name")), ["n_regionkey"], "seq", F.col("seq").isin(0, 2, 3))
+
+
+def first_device(spark, d):
+    x = table(spark, d, "nation").select("n_nationkey", "n_name")
+    return O.first_of_either(x, "n_name", "n_nationkey", [None, "NATION_07", "NATION_03", x.orderBy("n_nationkey").first()["n_name"]])
+
+
+def name_set(spark, d):
+    x = table(spark, d, "nation")
+    return O.name_set(x, ["n_regionkey"], "n_name", F.lit("none")).select("n_regionkey", F.array_join("names", ",").alias("names"), "has")
+
+
+def bracketed(spark, d):
+    kind = L.lookup({"signup": "start", "error": "stop"}, F.col("event_type"), F.col("event_type"))
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", kind.alias("kind"))
+    return C.brackets(e, ["user_id"], ["ts", "event_id"], "kind").groupBy("user_id", "session").agg(F.count("*").alias("n"))
+
+
+def template_splice(spark, d):
+    text = F.format_string('[["wait", %d], ["jump", 1], {"type": "press", "btn": "B"}, ["dir", "%s"], ["release"]]', F.col("n_nationkey"), F.lit(NEUTRAL))
+    x = table(spark, d, "nation").select("n_nationkey", F.posexplode(J.template_steps(text)).alias("pos", "s"))
+    return x.select("n_nationkey", "pos", "s.type", "s.delay", "s.dir", "s.btn", J.step_text(F.col("s")).alias("text"))
+
+
+def sorted_keys(spark, d):
+    m = F.map_from_arrays(F.array(F.lit(30), F.col("n_nationkey").cast("int"), F.lit(-1)), F.array(F.lit(0), F.lit(1), F.lit(2)))
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(O.sorted_keys(m), ",").alias("keys"))
+
+
+QUERIES = {f.__name__: f for f in (change_detect, near_dup_suppress, compile_steps, compile_mirrored, normalize_steps, decode_events, step_display, new_steps, running_clock, repeat_expand, mirror_lookup, fuse_directions, button_parse, remap_ids, elapsed_time, merge_sources, rising_edges, session_bracket, debounce_last, first_match, renumber_after_delete, rebind, lowest_free, distinct_first_seen, last_300, anti_then_union, json_field, move_down, bindings_join, macro_sizes, clamp_inputs, subrates, move_up, duplicate_row, delete_row, splice_rows, direction_codes, combo_split, id_range, process_match, name_of_index, inverse_map, pad_events, pad_events_while_down, replay, insert_rows, replace_row, restore_order, first_device, name_set, bracketed, template_splice, sorted_keys)}
 
 _dirs = "[" + ", ".join(f"'{k}'" for k in DIRECTIONS) + "]"
 _case = lambda at, items: f"CASE {at} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in items.items())
@@ -265,6 +331,20 @@ _list = "r AS (SELECT n_regionkey, n_name, CAST(row_number() OVER (PARTITION BY
 _name = "([" + ", ".join(f"'{k}'" for k in [*DIRECTIONS, "none"]) + "])[event_id % 10 + 1]"
 _vector = {f"{x},{y}": f"'{k}'" for k, (x, y) in DIRECTIONS.items()}
 
+_snap = """snap AS (
+  SELECT user_id, event_id, [CAST((event_id + 7 * i) % (i + 2) = 0 AS INTEGER) FOR i IN range(16)] AS b, (event_id % 5 - 2) / 2.0 AS ax, (event_id % 7 - 3) / 3.0 AS ay,
+         CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS h0x, CASE event_id % 9 WHEN 0 THEN 1 ELSE 0 END AS h0y,
+         CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS h1x, CASE event_id % 5 WHEN 0 THEN 1 ELSE 0 END AS h1y FROM events),
+fused AS (
+  SELECT *, CASE WHEN h0x <> 0 THEN h0x WHEN b[15] <> b[14] THEN b[15] - b[14] WHEN abs(ax) > 0.5 THEN sign(ax) ELSE 0 END AS x,
+         CASE WHEN h0y <> 0 THEN h0y WHEN b[12] <> b[13] THEN b[12] - b[13] WHEN abs(ay) > 0.5 THEN -sign(ay) ELSE 0 END AS y FROM snap),
+was AS (SELECT *, lag(x, 1, 0) OVER w AS px, lag(y, 1, 0) OVER w AS py, lag(h1x, 1, 0) OVER w AS p1x, lag(h1y, 1, 0) OVER w AS p1y, lag(b) OVER w AS pb FROM fused WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+ev AS (
+  SELECT user_id, event_id, 0 AS k, 'hat' AS type, 0 AS id, NULL AS val, x AS hx, y AS hy FROM was WHERE x <> px OR y <> py
+  UNION ALL SELECT user_id, event_id, 1, 'hat', 1, NULL, h1x, h1y FROM was WHERE h1x <> p1x OR h1y <> p1y
+  UNION ALL SELECT user_id, event_id, 2 + i, 'btn', i, b[i + 1], NULL, NULL FROM was, range(16) r(i) WHERE b[i + 1] <> coalesce(pb[i + 1], 0) AND {mask})
+SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id, event_id ORDER BY k) - 1 AS INTEGER) AS pos, type, CAST({id} AS INTEGER) AS id, CAST(val AS INTEGER) AS val, CAST(hx AS INTEGER) AS hx, CAST(hy AS INTEGER) AS hy FROM ev"""
+
 ORACLES = {
     "change_detect": "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type",
     "near_dup_suppress": f"""
@@ -312,7 +392,7 @@ WITH {_steps}
 SELECT macro_id, seq, type, CASE WHEN type = 'wait' THEN delay END AS delay, CASE WHEN type = 'dir' THEN dir END AS dir, CASE WHEN type IN ('press', 'release', 'tap') THEN btn END AS btn,
   CASE WHEN type = 'tap' THEN rep END AS rep, CASE WHEN type = 'tap' THEN 50 END AS dur, CASE WHEN type = 'tap' THEN 30 END AS gap, CASE WHEN type = 'comment' THEN 'note' END AS text FROM steps""",
     "running_clock": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate ROWS UNBOUNDED PRECEDING) AS clock FROM lineitem",
-    "repeat_expand": "SELECT l_linenumber, CAST(rep AS INTEGER) AS rep, count(*) AS n, CAST(rep * 80 AS BIGINT) AS press_at, CAST(rep * 80 + 50 AS BIGINT) AS release_at FROM (SELECT l_linenumber, unnest(range(l_linenumber)) AS rep FROM lineitem WHERE l_linenumber <= 7) GROUP BY l_linenumber, rep",
+    "repeat_expand": "SELECT l_linenumber, CAST(rep AS INTEGER) AS rep, count(*) AS n, CAST(rep * 80 AS BIGINT) AS press_at, CAST(rep * 80 + 50 AS BIGINT) AS release_at FROM (SELECT l_linenumber, unnest(range(l_linenumber)) AS rep FROM lineitem) GROUP BY l_linenumber, rep",
     "mirror_lookup": f"SELECT event_id, {_case(f'({_dirs})[event_id % 9 + 1]', _mirror)} END AS mirrored, event_type AS unknown FROM events",
     "fuse_directions": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CASE WHEN l_linenumber % 3 <> 1 THEN l_linenumber % 3 - 1 WHEN l_suppkey % 3 <> 1 THEN l_suppkey % 3 - 1 WHEN abs((l_partkey % 5 - 2) / 2.0) > 0.5 THEN sign((l_partkey % 5 - 2) / 2.0) ELSE 0 END AS INTEGER) AS axis FROM lineitem",
     "button_parse": "SELECT p_partkey, CASE lower(p_name[1]) WHEN 'a' THEN 0 WHEN 'b' THEN 1 WHEN 'x' THEN 2 WHEN 'y' THEN 3 ELSE coalesce(TRY_CAST(CASE WHEN regexp_full_match(p_name[1], '[0-9]') THEN p_name[1] END AS INTEGER), 0) END AS by_name, CAST(p_size AS INTEGER) AS by_number FROM part",
@@ -341,8 +421,31 @@ SELECT macro_id, seq, type, CASE WHEN type = 'wait' THEN delay END AS delay, CAS
     "splice_rows": f"WITH {_list} SELECT n_regionkey, n_name, CASE WHEN s >= 2 AND n_regionkey <> 3 THEN s + 2 ELSE s END AS seq FROM r UNION ALL SELECT r_regionkey, r_name, CAST(k + least(2, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey)) AS INTEGER) FROM region, range(2) t(k) WHERE r_regionkey <> 3",
     "direction_codes": f"SELECT event_id, CAST({_case(_name, {k: v[0] for k, v in DIRECTIONS.items()})} ELSE 0 END AS INTEGER) AS hx, CAST({_case(_name, {k: v[1] for k, v in DIRECTIONS.items()})} ELSE 0 END AS INTEGER) AS hy, {_case("(event_id % 5 - 2) || ',' || (user_id % 3 - 1)", _vector)} ELSE '{NEUTRAL}' END AS name, CAST(CASE WHEN abs(event_id % 5 - 2) <= 1 THEN 2 - event_id % 5 ELSE event_id % 5 - 2 END AS INTEGER) AS mirrored_x FROM events",
     "combo_split": "SELECT p_partkey, CAST(k AS INTEGER) AS pos, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN p_size ELSE 5 END AS INTEGER) AS button FROM part, range(3) t(k)",
-    "mask_buttons": "SELECT l_quantity, count(*) AS n FROM lineitem WHERE l_quantity NOT BETWEEN 11 AND 14 GROUP BY l_quantity",
-    "process_match": "SELECT c_custkey, lower(c_name) || CASE WHEN lower(c_name) LIKE '%.exe' THEN '' ELSE '.exe' END = 'customer#000000007.exe' AS same, c_mktsegment LIKE '%BUILD%' AS titled FROM customer",
+    "id_range": "SELECT CASE WHEN l_linenumber = 1 THEN 'hat' ELSE 'btn' END AS type, CAST(l_quantity AS INTEGER) AS id, count(*) AS n FROM lineitem WHERE l_linenumber = 1 OR l_quantity <= 10 GROUP BY 1, 2",
+    "process_match": "SELECT c_custkey, lower(c_name) || CASE WHEN lower(c_name) LIKE '%.exe' THEN '' ELSE '.exe' END = 'customer#000000007.exe' AS same, c_mktsegment LIKE '%BUILD%' AND c_nationkey > 3 AS titled FROM customer",
     "name_of_index": "SELECT s_suppkey, coalesce(n_name, 'unbound') AS name FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON n_nationkey = s_nationkey",
     "inverse_map": "SELECT n_nationkey, 3 AS key_of_5, CAST(len(list_distinct([n_nationkey, n_regionkey, 5])) AS INTEGER) AS n_keys, CASE WHEN n_nationkey = 5 THEN 1 ELSE 2 END AS n_put, 5 AS put_2 FROM nation",
+    "pad_events": "WITH " + _snap.replace("{mask}", "i NOT BETWEEN 11 AND 14").replace("{id}", "CASE WHEN type = 'btn' AND id IN (1, 2) THEN 3 - id ELSE id END"),
+    "pad_events_while_down": "WITH " + _snap.replace("{mask}", "NOT (i BETWEEN 11 AND 14 AND b[12] + b[13] + b[14] + b[15] > 0)").replace("{id}", "id"),
+    "replay": f"""
+WITH {_steps}, s AS (SELECT * FROM steps WHERE type IN ('press', 'wait') AND CAST(macro_id AS BIGINT) % 2 = 0),
+c AS (SELECT *, sum(delay) OVER (PARTITION BY macro_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS t, {_ids} AS ids FROM s)
+SELECT macro_id, seq, CAST(i AS INTEGER) AS pos, CAST(t AS DOUBLE) AS t, 'btn' AS type, CAST(ids[i + 1] AS INTEGER) AS id, CAST(NULL AS INTEGER) AS hx FROM c, range(2) r(i) WHERE type = 'press' AND i < len(ids)
+UNION ALL SELECT CAST(user_id AS VARCHAR), event_id, 0, CAST(event_id * 2.5 AS DOUBLE), 'hat', 0, CAST(CASE WHEN event_id % 4 = 3 THEN 2 ELSE 1 - event_id % 4 END AS INTEGER) FROM events WHERE CAST(user_id AS VARCHAR) NOT IN (SELECT macro_id FROM s)""",
+    "insert_rows": f"WITH {_list}, g AS (SELECT n_regionkey, max(n) AS n FROM r GROUP BY n_regionkey) SELECT n_regionkey, n_name, CASE WHEN s >= 2 THEN s + 1 ELSE s END AS seq FROM r UNION ALL SELECT r_regionkey, r_name, CAST(least(2, coalesce(n, 0)) AS INTEGER) FROM region LEFT JOIN g ON n_regionkey = r_regionkey UNION ALL SELECT n_regionkey + 100, n_name, s FROM r UNION ALL SELECT r_regionkey + 100, r_name, CAST(coalesce(n, 0) AS INTEGER) FROM region LEFT JOIN g ON n_regionkey = r_regionkey",
+    "replace_row": f"WITH {_list} SELECT n_regionkey, CASE WHEN s = 1 THEN 'new' ELSE n_name END AS n_name, s AS seq, s + 2 BETWEEN 0 AND 4 AS inside FROM r",
+    "restore_order": f"WITH {_list}, back AS (SELECT n_regionkey, lower(n_name) AS n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY s DESC) - 1 AS k FROM r WHERE s IN (0, 2, 3)) SELECT n_regionkey, n_name, s AS seq FROM r WHERE s < 2 UNION ALL SELECT n_regionkey, n_name, CAST(k + least(2, (SELECT count(*) FROM nation x WHERE x.n_regionkey = back.n_regionkey)) AS INTEGER) FROM back",
+    "first_device": "SELECT n_nationkey, n_name FROM nation WHERE n_name IN ('NATION_07', 'NATION_03', (SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 1)) ORDER BY n_nationkey LIMIT 1",
+    "name_set": "SELECT n_regionkey, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS names, bool_or(n_name = 'none') AS has FROM nation GROUP BY n_regionkey",
+    "bracketed": """
+WITH c AS (SELECT *, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'stop' END AS control FROM events),
+b AS (SELECT *, coalesce(last_value(control IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'start', false) AS running FROM c),
+n AS (SELECT *, CAST(count(*) FILTER (WHERE control = 'start' AND NOT running) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM b)
+SELECT user_id, session, count(*) AS n FROM n WHERE running AND control IS NULL GROUP BY user_id, session""",
+    "template_splice": f"""
+SELECT n_nationkey, 0 AS pos, 'wait' AS type, CAST(n_nationkey AS DOUBLE) AS delay, NULL AS dir, NULL AS btn, '{{"type":"wait","delay":' || n_nationkey || '.0}}' AS text FROM nation
+UNION ALL SELECT n_nationkey, 1, 'press', NULL, NULL, 'B', '{{"type":"press","btn":"B"}}' FROM nation
+UNION ALL SELECT n_nationkey, 2, 'dir', NULL, '{NEUTRAL}', NULL, '{{"type":"dir","dir":"{NEUTRAL}"}}' FROM nation
+UNION ALL SELECT n_nationkey, 3, 'release', NULL, NULL, NULL, '{{"type":"release"}}' FROM nation""",
+    "sorted_keys": "SELECT n_nationkey, array_to_string(list_sort([30, n_nationkey, -1]), ',') AS keys FROM nation",
 }
