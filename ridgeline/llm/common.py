@@ -41,7 +41,15 @@ def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and a lost executor loses none of it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path, compression=codec)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes the files of written() tables, once all that was made of them is a written table itself."""
+    for t in tables:
+        remove(t.sparkSession, t.written_at)
 
 
 def _path(spark: SparkSession, path: str):

@@ -26,7 +26,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, exists, lower_ascii, new_path, remove, written
+from .common import documents, exists, lower_ascii, new_path, release, remove, written
 
 SPACE = " \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1
@@ -174,6 +174,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
             gone = gone.union(met.where("hot_first IS NULL").join(cold, ["h1", "h2"]).where("first <> id").select("id", "th", "pos"))
             # one sorted list a document, bounded by its lines; a document is in one batch
             gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone")).write.mode("append").parquet(drops_at)
+            release(tagged)
         runs.save()
     finally:
         runs.drop()

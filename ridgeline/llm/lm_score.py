@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, Shared, crc_mod, documents, map_arrow, map_batches, numbers, text_bytes, written
+from .common import LOWER_BYTES, Shared, crc_mod, documents, map_arrow, map_batches, numbers, release, text_bytes, written
 
 #: The code of the end; codes of words are negative.
 END = 0
@@ -488,6 +488,8 @@ def score(docs: DataFrame, head: int = 100_000, clustered: int = 1_000, classes:
     of[known:-1] = -1
     texts = resolved(table, rare, of[:-1], counts, room, int(singles.argmax()), ends, n + v + 1)
 
+    release(counted, table, rare)
+
     pair = transitions(texts.where("NOT held_out").select("n_tokens", "classes"), lambda b: class_steps(b, classes)[:2], classes + 1)
     share = (pair.sum(0) + 1) / (pair.sum() + classes + 1)
     sent = Shared(spark, np.log10((pair + strength * share) / (pair.sum(1, keepdims=True) + strength)))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, components, documents, map_arrow, map_batches, numbers, small_batches, text_bytes, whole_groups, written
+from .common import LOWER_BYTES, components, documents, map_arrow, map_batches, numbers, release, small_batches, text_bytes, whole_groups, written
 
 M, A, BASE, Q = 128, 20.0, 1.001, (1 << 16) - 2
 LAST = (1 << 63) - 1
@@ -196,7 +196,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, percent: int,
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", "doc_id", "th", "ha"), "id")
     sets = written(_full_sets(docs, ids), "near-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
-    return written(map_batches(both.select("a", "b", "ea", "eb"), verify, "a long, b long"), "near-links")
+    links = written(map_batches(both.select("a", "b", "ea", "eb"), verify, "a long, b long"), "near-links")
+    release(pairs, sets)
+    return links
 
 
 def _rest(docs: DataFrame, entries: DataFrame, reps: DataFrame, found: DataFrame, percent: int, cut: float, block: int, bands: int, rows: int) -> DataFrame:
@@ -280,8 +282,10 @@ def _rest(docs: DataFrame, entries: DataFrame, reps: DataFrame, found: DataFrame
 
     some = written(map_arrow(together(dealt), candidates, "band int, key long, lo int, hi int, i int, id long, component long, n long"), "near-open")
     ids = some.select("id").distinct().join(reps.select("id", "doc_id", "th", "ha", "registers"), "id")
-    sets = written(_full_sets(docs, ids.drop("registers")), "near-sets").join(ids.select("id", "registers"), "id")
-    return written(map_arrow(together(some.join(sets, "id")), link, "a long, b long"), "near-more")
+    sets = written(_full_sets(docs, ids.drop("registers")), "near-sets")
+    more = written(map_arrow(together(some.join(sets, "id").join(ids.select("id", "registers"), "id")), link, "a long, b long"), "near-more")
+    release(some, sets)
+    return more
 
 
 def _labelled(table: DataFrame, classes: DataFrame, found: DataFrame, hot_share: float) -> DataFrame:
@@ -292,7 +296,7 @@ def _labelled(table: DataFrame, classes: DataFrame, found: DataFrame, hot_share:
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(names, "component").select(*on, "size", "component_id")
     named = written(named, "near-named")
-    most = max(100, (classes.agg(F.sum("size")).first()[0] or 0) * hot_share)
+    most = max(100, (table.where("n > 0").count()) * hot_share)
     hot, cold = named.where(F.col("size") > most), named.where(F.col("size") <= most)
     rows, columns = table.select("doc_id", "n", *on), ["doc_id", "n", "component_id"]
     some = rows.where("n > 0")
@@ -328,6 +332,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
         # the components found are stars already, so few rounds are left
         found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more), "near-components")
     label = _labelled(table, classes, found, hot_share).withColumnRenamed("n", "n_shingles")
+    # the result needs the sketch table and what _labelled() has written
+    release(classes, reps, entries, links, more)
     shown = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return label.select(shown("doc_id").alias("doc_id"), "n_shingles", shown("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 

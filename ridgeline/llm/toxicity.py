@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, crc_mod, documents, map_arrow, map_batches, text_bytes, written
+from .common import Shared, crc_mod, documents, map_arrow, map_batches, release, text_bytes, written
 
 #: Scores from here on are predicted toxic.
 THRESHOLD = 0.7
@@ -279,6 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, most: int =
             yield {"y": b["y"], "half": b["half"], "x": [[float(v) for v in features(t, facts[h])] for t, h in zip(b["text"], b["half"])]}
 
     rows = map_batches(texts, dense, "y int, half int, x array<double>").collect()  # at most 2 * per_class short rows
+    release(chosen, texts, by_unit)
     if len({r["y"] for r in rows}) < 2:  # labels of documents that are not there
         return Model({}, None, (np.zeros(1), np.zeros(1)), rate)
     x, y, h = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float), np.array([r["half"] for r in rows])
