@@ -92,7 +92,7 @@ def merge_rounds(voc: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.nd
 class Coder:
     """Encodes batches of texts; keeps up to `most` encoded words."""
 
-    def __init__(self, voc: Vocabulary, most: int = 400_000):
+    def __init__(self, voc: Vocabulary, most: int = 200_000):
         self.voc, self.most = voc, most
         self.cut = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(voc.special, key=len, reverse=True))) + ")") if voc.special else None

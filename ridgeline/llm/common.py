@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -78,6 +79,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
             spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Python workers go from task to task, and would keep what each one's caches took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str | StructType) -> DataFrame:
     """mapInArrow where f yields dicts of columns (lists, numpy or Arrow arrays), in any order."""
     small_batches(df.sparkSession)
@@ -85,8 +93,11 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[di
     types = pa.schema([pa.field(c.name, _arrow(c.dataType)) for c in empty.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in f(batches):
-            yield pa.RecordBatch.from_arrays([out[t.name].cast(t.type) if isinstance(out[t.name], pa.Array) else pa.array(out[t.name], type=t.type, from_pandas=False) for t in types], schema=types)
+        try:
+            for out in f(batches):
+                yield pa.RecordBatch.from_arrays([out[t.name].cast(t.type) if isinstance(out[t.name], pa.Array) else pa.array(out[t.name], type=t.type, from_pandas=False) for t in types], schema=types)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
