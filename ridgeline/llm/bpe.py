@@ -147,22 +147,23 @@ class Coder:
         return b"".join(map(self.voc.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, keep_ids: bool = True, at_once: int = 250) -> DataFrame:
     """docs(doc_id, text) as doc_id, n_tokens, ids (if asked for), ids_sha256, decoded, decoded_sha256; ids are decoded again."""
     voc = Shared(docs.sparkSession, Vocabulary(vocabulary))
 
     def run(batches):
         coder = Coder(voc.get())
         for b in batches:
-            ids = coder.encode(b["text"])
-            back = [coder.decode(x) for x in ids]
-            out = {"doc_id": b["doc_id"], "n_tokens": [len(x) for x in ids]}
-            if keep_ids:
-                out |= {"ids": [x.tolist() for x in ids], "decoded": back}
-            yield out | {
-                "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in back],
-            }
+            for a in range(0, len(b["text"]), at_once):
+                ids = coder.encode(b["text"][a : a + at_once])
+                back = [coder.decode(x) for x in ids]
+                out = {"doc_id": b["doc_id"][a : a + at_once], "n_tokens": [len(x) for x in ids]}
+                if keep_ids:
+                    out |= {"ids": [x.astype(np.int32) for x in ids], "decoded": back}
+                yield out | {
+                    "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids],
+                    "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in back],
+                }
 
     extra = "ids array<int>, decoded string, " if keep_ids else ""
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, f"doc_id long, n_tokens long, {extra}ids_sha256 string, decoded_sha256 string")
